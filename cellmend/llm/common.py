@@ -130,6 +130,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def apart(key: str) -> Column:
+    """A second grouping key that follows from the first. A later join on the first alone then reads
+    the aggregate through an exchange of its own, and AQE can split the other side's hot keys."""
+    return F.hash(key).alias("apart")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learnt from: crc32 of the id's decimal text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

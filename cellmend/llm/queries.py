@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
+from cellmend.llm.simhash import simhash_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(common.table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -51,6 +56,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
 }
 
