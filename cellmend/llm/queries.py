@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
+from cellmend.llm.pack import pack
 from cellmend.llm.simhash import simhash_groups
 
 
@@ -27,6 +28,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(common.table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(common.table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_pack": op5_pack,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
 }
