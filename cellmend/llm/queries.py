@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
 from cellmend.llm.pack import pack
 from cellmend.llm.simhash import simhash_groups
+from cellmend.llm.toxicity import THRESHOLD, toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,13 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), F.col("doc_id"))
+    return scored.select(
+        F.col("row").alias("doc_id"), common.held_out(F.col("row")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans"
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(common.table(spark, sf_dir, "documents"))
 
@@ -62,6 +71,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_pack": op5_pack,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
 }
