@@ -11,6 +11,7 @@ from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
 from cellmend.llm.pack import pack
+from cellmend.llm.secrets import find_secrets
 from cellmend.llm.simhash import simhash_groups
 from cellmend.llm.toxicity import THRESHOLD, toxicity
 
@@ -19,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(common.table(spark, sf_dir, "documents"))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
+    "op9_secrets": op9_secrets,
 }
 
 SQL: dict[str, str] = {
