@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
+from cellmend.llm.html_extract import extract_text
 from cellmend.llm.pack import pack
 from cellmend.llm.secrets import find_secrets
 from cellmend.llm.simhash import simhash_groups
@@ -35,6 +36,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(common.table(spark, sf_dir, "pages"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_extract": op2_html_extract,
     "op5_pack": op5_pack,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
