@@ -12,9 +12,11 @@ from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
 from cellmend.llm.html_extract import extract_text
 from cellmend.llm.pack import pack
+from cellmend.llm.quality import quality
 from cellmend.llm.secrets import find_secrets
 from cellmend.llm.simhash import simhash_groups
 from cellmend.llm.toxicity import THRESHOLD, toxicity
+from cellmend.llm.url_filter import filter_urls
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,30 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(common.table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(common.table(spark, sf_dir, "pages"), rules)
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM p),
+q AS (SELECT r, page_id, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path,
+             translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM h),
+rules(rh, rp, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+m AS (SELECT r, rh || rp AS rule, v FROM q JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+      QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rh) + length(rp) DESC, length(rh) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM q LEFT JOIN m USING (r)
+"""
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"))
 
@@ -81,6 +107,8 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extract": op2_html_extract,
+    "op3_quality": op3_quality,
+    "op4_url_filter": op4_url_filter,
     "op5_pack": op5_pack,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
@@ -90,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_url_filter": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
 }
