@@ -11,6 +11,7 @@ from cellmend.llm import common
 from cellmend.llm.decontaminate import decontaminate
 from cellmend.llm.exact_dedup import exact_dedup
 from cellmend.llm.html_extract import extract_text
+from cellmend.llm.lm_score import lm_scores
 from cellmend.llm.pack import pack
 from cellmend.llm.quality import quality
 from cellmend.llm.secrets import find_secrets
@@ -27,6 +28,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(common.table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(common.table(spark, sf_dir, "documents"))
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
+    "op10_lm_score": op10_lm_score,
 }
 
 SQL: dict[str, str] = {
