@@ -1,16 +1,74 @@
-"""Training-data pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""Training-data pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Each stage works on all that the one before kept, and its decisions take effect. All but the last return the columns of their input.
+A row with a null id is never dropped as a copy, since no list of ids can name it; one that is too toxic or contaminated goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellmend.llm import common
+from cellmend.llm.decontaminate import remove_contamination
+from cellmend.llm.exact_dedup import exact_dedup
+from cellmend.llm.pack import pack
+from cellmend.llm.simhash import simhash_groups
+from cellmend.llm.toxicity import THRESHOLD, toxicity
+
+#: Rows of a drop list that may be broadcast: some 10 MB. Longer lists are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
+    """docs without the rows whose key expressions equal a row of dropped; keys: column of dropped to expression over docs."""
+    listed = common.save(dropped.select(*[F.col(k).alias(f"__drop_{k}") for k in keys]).distinct(), "dropped")
+    side = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
+    condition = None
+    for k, expression in keys.items():
+        this = expression == side[f"__drop_{k}"]
+        condition = this if condition is None else condition & this
+    return docs.join(side, condition, "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity(docs, common.table(spark, sf_dir, "labels"), F.struct(*[common.column(c) for c in docs.columns]))
+    return scored.where(F.col("score") < THRESHOLD).select("row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
+    sha = F.sha2(common.ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return without(docs, dropped, {"doc_id": docs["doc_id"], "text_sha256": sha})
 
-STAGES: list = []
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = common.save(simhash_groups(docs), "groups")
+    first = F.col("doc_id") == F.col("component_id")
+    dropped = groups.where(~first).select("doc_id").subtract(groups.where(first).select("doc_id"))
+    return without(docs, dropped, {"doc_id": docs["doc_id"]})
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_contamination(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("pack", pack_sequences),
+]
+#: SQL can express neither a trained tagger nor a tokenizer: tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cellmend.llm import common
-
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
