@@ -21,7 +21,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.llm import common
@@ -167,7 +167,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return common.texts(df, id_col, text_col).mapInArrow(_scan(shared), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(text: F.Column | str, spans: F.Column | str, mask: str = "[secret]") -> F.Column:
+def redact(text: Column | str, spans: Column | str, mask: str = "[secret]") -> Column:
     """text with every span of find_secrets() masked; overlapping spans mask once."""
     text, spans = (F.col(c) if isinstance(c, str) else c for c in (text, spans))
     bounds = F.transform(F.filter(F.split(spans, ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("a"), F.split(x, ":")[2].cast("int").alias("b")))
