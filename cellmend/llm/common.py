@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
 STEP_BYTES = 4 << 20
 
@@ -41,6 +42,9 @@ def ship(spark: SparkSession) -> None:
     with open(path, "wb") as f:
         f.write(blob.getvalue())
     sc.addPyFile(path)
+    # Texts can be long: smaller Arrow batches bound a Python worker's memory, and the executor's beside its heap.
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, "16777216b")
     _SHIPPED.add(sc.applicationId)
 
 
@@ -99,11 +103,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(batch: pa.RecordBatch, text_at: int = 1, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def rows_with_text(df: DataFrame, row: Column | None, text_col: str) -> DataFrame:
+    """(row, text) with null text empty; or only row, a struct of all columns with the text among them, where none is given."""
+    if row is None:
+        return df.select(F.struct(*[column(c) for c in df.columns]).alias("row"))
+    return df.select(row.alias("row"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+
+
+def text_array(batch: pa.RecordBatch, inside: str | None, text_at: int = 1) -> pa.Array:
+    """The texts of a batch: a column, or a field of the structs in the first."""
+    return batch.column(text_at) if inside is None else pa.compute.struct_field(batch.column(0), inside)
+
+
+def texts_of(batch: pa.RecordBatch, inside: str | None) -> list[str]:
+    return [t or "" for t in text_array(batch, inside).to_pylist()]
+
+
+def steps(batch: pa.RecordBatch, text_at: int = 1, limit: int = STEP_BYTES, inside: str | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `limit` bytes of text each; a longer text makes a slice of its own."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(text_at)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pa.compute.binary_length(text_array(batch, inside, text_at)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(ends):

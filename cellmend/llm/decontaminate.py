@@ -27,7 +27,7 @@ from cellmend.llm.fm_index import FMIndex
 
 WINDOW = 13
 #: Text of a shard, and of a block of the benchmark, in bytes.
-SHARD_BYTES, BLOCK_BYTES = 12 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -76,18 +76,21 @@ class Phrases:
         return origin[index.locate(rows)], np.repeat(hit, n)
 
 
-def _scan(phrases, first: bool, last: bool, keep_text: bool) -> Callable:
-    """Adds one block's hits. Columns in: row, text[, n_words, spans, items]; out: the same, without text at the end."""
+def _scan(phrases, first: bool, last: bool, inside: str | None) -> Callable:
+    """Adds one block's hits. Columns in: row[, text][, n_words, spans, items]; out: the same, without text at the end.
+    inside: the field of the row that holds the text, where it is not a column of its own."""
+    done = 1 if inside else 2  # columns before n_words
 
     def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
         get, ids, starts = p.symbol.get, [], [0]
         for b in batches:
-            for t in b.column(1).to_pylist():
-                ids.append(np.array([get(w, 0) for w in words(t)] + [0], dtype=np.int64))
+            for t in common.texts_of(b, inside):
+                ids.append(np.array([get(w, 0) for w in words(t)] + [0], dtype=np.int32))
                 starts.append(starts[-1] + len(ids[-1]))
         starts = np.array(starts)
         at, window = p.occurrences(np.concatenate(ids))
+        del ids
         doc = np.searchsorted(starts, at, side="right") - 1
         at = at - starts[doc]
         by = np.lexsort((at, doc))
@@ -97,25 +100,25 @@ def _scan(phrases, first: bool, last: bool, keep_text: bool) -> Callable:
             spans, items, n = [], [], []
             for i in range(b.num_rows):
                 mine = by[bounds[k] : bounds[k + 1]]
-                old = [] if first else b.column(3)[i].as_py()
+                old = [] if first else b.column(done + 1)[i].as_py()
                 pairs = sorted({*zip(old[::2], old[1::2], strict=True), *zip(at[mine].tolist(), (at[mine] + p.lengths[window[mine]]).tolist(), strict=True)})
                 spans.append(merge(pairs))
-                names = set() if first else set(b.column(4)[i].as_py())
+                names = set() if first else set(b.column(done + 2)[i].as_py())
                 for w in np.unique(window[mine]).tolist():
                     names.update(p.items[w])
                 items.append(sorted(names))
                 n.append(int(starts[k + 1] - starts[k] - 1))
                 k += 1
-            text = [b.column(1)] if keep_text or not last else []
+            text = [] if inside or last else [b.column(1)]
             cols = [b.column(0), *text, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.record_batch(cols, ["row", *["text"] * len(text), "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for whole in batches:
-            for b in common.steps(whole):
+            for b in common.steps(whole, inside=inside):
                 held.append(b)
-                size += b.column(1).nbytes
+                size += common.text_array(b, inside).nbytes
                 if size >= SHARD_BYTES:
                     yield from shard(held)
                     held, size = [], 0
@@ -155,19 +158,20 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield [(r.i, r.t) for r in part.collect()]
 
 
-def find_spans(df: DataFrame, row: Column, text_col: str, benchmark: DataFrame, item_col: str = "item_id", bench_text_col: str = "text",
-               window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """Per row of df: row as given, [text,] n_words, spans (flat half-open word positions, merged) and items (sorted ids)."""
+def find_spans(df: DataFrame, row: Column | None, text_col: str, benchmark: DataFrame, item_col: str = "item_id", bench_text_col: str = "text",
+               window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of df: row (the given column, else a struct of all columns), n_words, spans (flat half-open word positions, merged) and
+    items (sorted ids)."""
     spark = df.sparkSession
     common.ship(spark)
-    out = df.select(row.alias("row"), F.coalesce(common.column(text_col), F.lit("")).alias("text"))
+    out = common.rows_with_text(df, row, text_col)
     kind = dict(out.dtypes)["row"]
     parts = list(blocks(benchmark, item_col, bench_text_col, block_bytes))
     for k, items in enumerate(parts):
         last = k == len(parts) - 1
         phrases = spark.sparkContext.broadcast(Phrases(items, window))
-        text = "text string, " if keep_text or not last else ""
-        out = out.mapInArrow(_scan(phrases, k == 0, last, keep_text), f"row {kind}, {text}n_words long, spans array<int>, items array<string>")
+        text = "" if row is None or last else "text string, "
+        out = out.mapInArrow(_scan(phrases, k == 0, last, text_col if row is None else None), f"row {kind}, {text}n_words long, spans array<int>, items array<string>")
     return out
 
 
@@ -194,7 +198,7 @@ def contaminated() -> Column:
 def remove_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """df's columns: contaminated documents go; from the others every hit span is cut, to its last word."""
     names = df.columns
-    found = find_spans(df, F.struct(*[common.column(c) for c in names]), text_col, benchmark, **more)
+    found = find_spans(df, None, text_col, benchmark, **more)
     clean = found.withColumn("n_hit", n_hit()).where(~contaminated())
     own = common.column(text_col)
     kind = dict(clean.dtypes)["row"]

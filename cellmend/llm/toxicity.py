@@ -106,18 +106,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _lexicon(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Forms that toxic documents share: frequent among them and rare in clean ones; then, for toxic documents that none of these
-    explains, the forms that explain most of them."""
+    """Forms that toxic documents share and clean ones hardly show, more than chance gives.
+
+    Of all forms that k documents have, a share^k of them would be in toxic documents alone by chance, where share is the toxic
+    documents' part of all forms. A form is taken where so many would be at most a twentieth of those that are there; then, for toxic
+    documents that none of these explains, the forms that explain most of them, where they would be at most a third.
+    """
     bad, good = Counter(), Counter()
     for d, y in zip(docs, toxic, strict=True):
         (bad if y else good).update(d)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    rare = lambda f: good[f] * n_bad <= 0.02 * bad[f] * n_good
-    least = max(3, 0.01 * n_bad)
-    chosen = {f for f, k in bad.items() if k >= least and rare(f)}
+    share = bad.total() / max(1, bad.total() + good.total())
+    pure = {f for f, k in bad.items() if good[f] * n_bad <= 0.02 * k * n_good}
+    have, alone = Counter(k + good[f] for f, k in bad.items()), Counter(bad[f] + good[f] for f in pure)
+    have.update(k for f, k in good.items() if f not in bad)
+    chance = {k: have[k] * share**k / n for k, n in alone.items()}
+    likely = lambda f, most: chance[bad[f] + good[f]] <= most
+    chosen = {f for f in pure if bad[f] >= 2 and likely(f, 0.05)}
+    usable = {f for f in pure if bad[f] >= 2 and likely(f, 0.3)}
     left = [d for d, y in zip(docs, toxic, strict=True) if y and not d & chosen]
     while left:
-        count = Counter(f for d in left for f in d if bad[f] >= 2 and rare(f))
+        count = Counter(f for d in left for f in d if f in usable)
         best = max(count, key=lambda f: (count[f], bad[f], len(f), f), default=None)
         if best is None or count[best] < 2:
             break
@@ -233,12 +242,14 @@ def _summaries(model: Model, docs: list[list[bytes]]) -> tuple[np.ndarray, np.nd
     return out, p
 
 
-def _scores(model) -> Callable:
+def _scores(model, inside: str | None) -> Callable:
+    """inside: the field of the row that holds the text, where it is not a column of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for whole in batches:
-            for b in common.steps(whole):
-                texts = b.column(1).to_pylist()
+            for b in common.steps(whole, inside=inside):
+                texts = common.texts_of(b, inside)
                 docs = [words(t) for t in texts]
                 x, p = _summaries(m, docs)
                 score = _sigmoid(m.score[0] + x @ m.score[1:])
@@ -272,10 +283,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts, y)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, **more) -> DataFrame:
-    """Per row of df: row as given, score (0 to 1) and spans (flat code point offsets of toxic runs)."""
+def toxicity(df: DataFrame, labels: DataFrame | None, row: Column | None = None, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, **more) -> DataFrame:
+    """Per row of df: row (the given column, else a struct of all columns), score (0 to 1) and spans (flat code point offsets of toxic runs)."""
     spark = df.sparkSession
     common.ship(spark)
     model = spark.sparkContext.broadcast(model or learn(df, labels, id_col, text_col, **more))
-    docs = df.select(row.alias("row"), F.coalesce(common.column(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(_scores(model), f"row {dict(docs.dtypes)['row']}, score double, spans array<int>")
+    docs = common.rows_with_text(df, row, text_col)
+    return docs.mapInArrow(_scores(model, text_col if row is None else None), f"row {dict(docs.dtypes)['row']}, score double, spans array<int>")

@@ -32,7 +32,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity(docs, common.table(spark, sf_dir, "labels"), F.struct(*[common.column(c) for c in docs.columns]))
+    scored = toxicity(docs, common.table(spark, sf_dir, "labels"))
     return scored.where(F.col("score") < THRESHOLD).select("row.*")
 
 
