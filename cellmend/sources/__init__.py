@@ -1 +1 @@
-"""."""
+"""Readers, writers and stage tables."""
