@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellmend import schema
 from cellmend.operators import stats
 from cellmend.operators.cells import to_cells
+from cellmend.sources.tables import checkpointed
 
 
 def candidates(pairs: DataFrame, singles: DataFrame, threshold: float = schema.COOCCURRENCE_THRESHOLD, top: int = schema.TOP_CANDIDATES) -> DataFrame:
@@ -47,11 +48,12 @@ def generate(wide: DataFrame, noisy: DataFrame, correlation_threshold: float = s
     """(tid, attr, candidate_val) for all cells, noisy or not: the value itself, what the tuple's other values propose, and the fallback.
     cap keeps the first candidates in order of value; there is none unless it is asked for."""
     cells = to_cells(wide)
-    pairs, singles = stats.pair_counts(wide), stats.single_stats(cells)
+    # each is read twice or more, and is small beside the scans and joins that make it
+    pairs, singles = checkpointed(stats.pair_counts(wide), "pairs"), checkpointed(stats.single_stats(cells), "singles")
     related = stats.correlated(stats.correlations(singles, pairs), correlation_threshold)
     cands = candidates(pairs, singles, cooccurrence_threshold, top)
     own = cells.where(F.col("val").isNotNull() & (F.col("val") != schema.PLACEHOLDER)).select("tid", "attr", F.col("val").alias("candidate_val"))
-    domains = own.union(from_context(cells, cands, related)).distinct()
+    domains = checkpointed(own.union(from_context(cells, cands, related)).distinct(), "proposed")
     domains = domains.union(fallback(cells, domains, noisy, singles, least)).where(F.col("candidate_val") != schema.PLACEHOLDER)
     if cap is not None:
         domains = domains.withColumn("__r", F.row_number().over(Window.partitionBy("tid", "attr").orderBy("candidate_val"))).where(F.col("__r") <= cap).drop("__r")
