@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -132,23 +133,16 @@ def strip_and_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT tid, nation, region, segment FROM dirty WHERE tid <= 500")
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV in order of tid and read again; tid comes from the file's order, and the limit is the reader's own."""
-    import uuid
-
-    from cellmend.sources.tables import checkpointed
-
-    checkpointed(spark.range(0).toDF("x"), "dir")
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{tables.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     base.raw(spark, sf_dir).orderBy("tid").select("nation", "region", "segment").coalesce(1).write.csv(path, header=True)
     return tables.read_csv(spark, path, limit=500)
 
 
 @query("SELECT 'cells' AS name, count(*) AS n_rows FROM cells UNION ALL SELECT 'noisy_cells', count(*) FROM noisy UNION ALL SELECT 'repairs', 0 UNION ALL SELECT 'ext_dict', 0")
 def run_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     v = View(spark, sf_dir)
     cells = tables.checkpointed(v.flagged, "flagged")
-    run = tables.RunDirectory(spark, f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/run-{uuid.uuid4().hex}")
+    run = tables.RunDirectory(spark, f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}")
     run.reset()
     run.write("cells", cells)
     run.write("noisy_cells", v.noisy)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +52,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> Data
     return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
 
 
+#: Tables that checkpointed() has written, to be removed when the program ends.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 class RunDirectory:
     """The stage tables of one run as Parquet; writing a table replaces it, and resetting a run replaces them all."""
 
@@ -74,20 +81,30 @@ class RunDirectory:
         return json.loads(self.spark.read.text(f"{self.path}/settings").first()[0])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (base or os.path.join(tempfile.gettempdir(), "cellmend-checkpoints")).rstrip("/")
+
+
 def checkpointed(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and read it back: lineage ends, lost executors cost nothing."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "cellmend-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     fixed = df.schema
     df.write.parquet(path)
-    return spark.read.schema(fixed).parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(fixed).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone: then its folder is the cluster's to clear
+            return
 
 
 def dense_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
