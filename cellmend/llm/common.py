@@ -49,12 +49,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "cellmend-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (base or os.path.join(tempfile.gettempdir(), "cellmend-checkpoints")).rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -121,6 +118,7 @@ def texts_of(batch: pa.RecordBatch, inside: str | None) -> list[str]:
 
 def steps(batch: pa.RecordBatch, text_at: int = 1, limit: int = STEP_BYTES, inside: str | None = None) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `limit` bytes of text each; a longer text makes a slice of its own."""
+    pa.default_memory_pool().release_unused()  # a worker lives through many stages
     if not batch.num_rows:
         return
     sizes = np.asarray(pa.compute.binary_length(text_array(batch, inside, text_at)).fill_null(0), dtype=np.int64)

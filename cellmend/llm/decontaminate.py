@@ -76,9 +76,10 @@ class Phrases:
         return origin[index.locate(rows)], np.repeat(hit, n)
 
 
-def _scan(phrases, first: bool, last: bool, inside: str | None) -> Callable:
+def _scan(phrases, first: bool, last: bool, inside: str | None, clean: bool) -> Callable:
     """Adds one block's hits. Columns in: row[, text][, n_words, spans, items]; out: the same, without text at the end.
-    inside: the field of the row that holds the text, where it is not a column of its own."""
+    inside: the field of the row that holds the text, where it is not a column of its own. clean: at the end give the
+    cleaned rows alone; it is done here, since a second Python pass would double a task's workers."""
     done = 1 if inside else 2  # columns before n_words
 
     def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,9 @@ def _scan(phrases, first: bool, last: bool, inside: str | None) -> Callable:
                 n.append(int(starts[k + 1] - starts[k] - 1))
                 k += 1
             text = [] if inside or last else [b.column(1)]
+            if clean and last:
+                yield _cleaned(b.column(0), spans, n, inside)
+                continue
             cols = [b.column(0), *text, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             yield pa.record_batch(cols, ["row", *["text"] * len(text), "n_words", "spans", "items"])
 
@@ -128,6 +132,19 @@ def _scan(phrases, first: bool, last: bool, inside: str | None) -> Callable:
     return run
 
 
+def _cleaned(rows: pa.Array, spans: list[list[int]], n_words: list[int], inside: str) -> pa.RecordBatch:
+    """The rows that are not contaminated, with hit spans cut from the text."""
+    hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    keep = [k for k, (h, n) in enumerate(zip(hits, n_words, strict=True)) if not (h > 0 and 20 * h >= n)]
+    rows = rows.take(pa.array(keep, pa.int64()))
+    if any(hits[k] for k in keep):
+        at = rows.type.get_field_index(inside)
+        text = [cut(t, spans[k]) if hits[k] else t for t, k in zip(rows.field(at).to_pylist(), keep, strict=True)]
+        fields = [pa.array(text, rows.type.field(i).type) if i == at else rows.field(i) for i in range(rows.type.num_fields)]
+        rows = pa.StructArray.from_arrays(fields, fields=list(rows.type))
+    return pa.record_batch([rows], ["row"])
+
+
 def merge(pairs: list[tuple[int, int]]) -> list[int]:
     """Sorted half-open spans, flat, with those that touch or overlap made one."""
     out: list[int] = []
@@ -159,9 +176,9 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
 
 
 def find_spans(df: DataFrame, row: Column | None, text_col: str, benchmark: DataFrame, item_col: str = "item_id", bench_text_col: str = "text",
-               window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """Per row of df: row (the given column, else a struct of all columns), n_words, spans (flat half-open word positions, merged) and
-    items (sorted ids)."""
+    items (sorted ids); with clean, the cleaned rows alone."""
     spark = df.sparkSession
     common.ship(spark)
     out = common.rows_with_text(df, row, text_col)
@@ -171,7 +188,8 @@ def find_spans(df: DataFrame, row: Column | None, text_col: str, benchmark: Data
         last = k == len(parts) - 1
         phrases = spark.sparkContext.broadcast(Phrases(items, window))
         text = "" if row is None or last else "text string, "
-        out = out.mapInArrow(_scan(phrases, k == 0, last, text_col if row is None else None), f"row {kind}, {text}n_words long, spans array<int>, items array<string>")
+        kinds = f"row {kind}" if clean and last else f"row {kind}, {text}n_words long, spans array<int>, items array<string>"
+        out = out.mapInArrow(_scan(phrases, k == 0, last, text_col if row is None else None, clean), kinds)
     return out
 
 
@@ -198,23 +216,10 @@ def contaminated() -> Column:
 def remove_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """df's columns: contaminated documents go; from the others every hit span is cut, to its last word."""
     names = df.columns
-    found = find_spans(df, None, text_col, benchmark, **more)
-    clean = found.withColumn("n_hit", n_hit()).where(~contaminated())
-    own = common.column(text_col)
-    kind = dict(clean.dtypes)["row"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, spans = b.column(0), b.column(1).to_pylist()
-            k = rows.type.get_field_index(text_col)
-            t = rows.field(k).to_pylist()
-            t = [cut(x, s) if s else x for x, s in zip(t, spans, strict=True)]
-            fields = [pa.array(t, rows.type.field(k).type) if i == k else rows.field(i) for i in range(rows.type.num_fields)]
-            yield pa.record_batch([pa.StructArray.from_arrays(fields, fields=list(rows.type))], ["row"])
-
-    out = clean.select("row", "spans").mapInArrow(run, f"row {kind}").select("row.*")
+    out = find_spans(df, None, text_col, benchmark, clean=True, **more).select("row.*")
     if "n_chars" in names and text_col == "text":
-        out = out.withColumn("n_chars", F.length(own).cast(df.schema["n_chars"].dataType))
+        length = F.length(common.column(text_col)).cast(df.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
     return out.select(*[common.column(c) for c in names])
 
 
