@@ -4,7 +4,8 @@ Three relations, all over 64-bit n-gram hashes and stored as packed rows (sorted
 carries some six bytes for an n-gram:
   requests(block, gram, n)   the exploded n-grams of every document, pre-aggregated in each block of a few million words;
   table(gram, count)         their sums, partitioned by ranges of the hash, with grams of a count under `least` pruned;
-  replies(block, gram, count) requests joined to the table in the partition where it is made: one shuffle serves count and join.
+  replies(block, gram, count) requests joined to the table in the partition where it is made: one shuffle serves count and join. A reply
+                              lists counts in the order of the block's sorted grams, which the block makes again from its texts.
 Replies and the block's texts meet by block, and each word of a document takes the longest gram that the table holds:
 S(w | context) = count(context w) / count(context), times `backoff` for each shorter gram; at last count(w) / words. Logarithms are
 summed per document. Counts are over all documents. A frequent gram has one request in a block, however many documents
@@ -30,7 +31,7 @@ from cellmend.llm import common
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Words of a block, and bytes of text for each bucket of the count table.
-BLOCK_WORDS, BUCKET_BYTES = 3_000_000, 16 << 20
+BLOCK_WORDS, BUCKET_BYTES = 2_000_000, 16 << 20
 _CACHE = 300_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _known: dict[bytes, int] = {}
@@ -65,19 +66,23 @@ def grams(h: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def places(docs: list[list[bytes]]) -> np.ndarray:
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    """Each word's place in its document."""
+    return _places(np.array([len(d) for d in docs], dtype=np.int64))
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 def packed(g: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted hashes as differences and counts, each by byte planes: the shuffle's compression then finds the zeros."""
     d = np.diff(g, prepend=np.uint64(0)).astype("<u8")
-    return d.view(np.uint8).reshape(-1, 8).T.tobytes(), n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return d.view(np.uint8).reshape(-1, 8).T.tobytes(), _planes(n)
 
 
 def unpacked(g: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
     d = np.ascontiguousarray(np.frombuffer(g, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(d, dtype=np.uint64), np.ascontiguousarray(np.frombuffer(n, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(d, dtype=np.uint64), _from_planes(n)
 
 
 def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
@@ -116,10 +121,13 @@ def _requests(order: int, buckets: int) -> Callable:
                 docs = [words(t) for t in texts[at : at + 500]]
                 place = places(docs)
                 parts += [g[place >= n] for n, g in enumerate(grams(word_hashes(docs), place, order))]
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            g = np.concatenate(parts)
             del parts
+            g.sort()
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), dtype=bool), g[1:] != g[:-1])))
+            n, g = np.diff(first, append=len(g)), g[first]
             cuts = np.searchsorted(_bucket(g, buckets), np.arange(buckets + 1))
-            home = block % buckets  # this bucket is asked even if for nothing: its reply says that the block is known
+            home = block % buckets  # this bucket is asked even if for nothing: its reply says that the block asked
             for k in range(buckets):
                 if cuts[k + 1] > cuts[k] or k == home:
                     x, y = packed(g[cuts[k] : cuts[k + 1]], n[cuts[k] : cuts[k + 1]])
@@ -128,20 +136,26 @@ def _requests(order: int, buckets: int) -> Callable:
     return run
 
 
-def _answer(least: int, buckets: int) -> Callable:
-    """Over rows sorted by bucket: sum, prune and reply."""
+def _planes(n: np.ndarray) -> bytes:
+    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _answer(least: int) -> Callable:
+    """Over rows sorted by bucket: sum, prune (to 0) and reply, in the order of each block's own grams."""
 
     def answers(bucket: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[2] for x in held]), minlength=len(table)).astype(np.int64)
+        total = np.where(total >= least, np.minimum(total, (1 << 32) - 1), 0)
         start = 0
         for block, g, _ in held:
             count = total[at[start : start + len(g)]]
             start += len(g)
-            keep = count >= least
-            if keep.any() or block % buckets == bucket:
-                x, y = packed(g[keep], np.minimum(count[keep], (1 << 32) - 1))
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["block", "part", "a", "b"])
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_planes(count)], pa.binary())], ["block", "part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -158,71 +172,91 @@ def _answer(least: int, buckets: int) -> Callable:
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's documents, in compressed packs."""
-    for block, ids, texts in _blocks(batches):
-        part, at = 1, 0
-        while at < len(ids):
-            size, end = 0, at
-            while end < len(ids) and (size < 1 << 20 or end == at):
-                size += len(texts[end])
-                end += 1
-            rows = pa.record_batch([pa.array(ids[at:end], pa.int64()), pa.array(texts[at:end], pa.string())], ["i", "t"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as w:
-                w.write_batch(rows)
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(sink.getvalue(), 3)], pa.binary()), pa.array([b""], pa.binary())], ["block", "part", "a", "b"])
-            part, at = part + 1, end
-
-
-def scores(docs: list[list[bytes]], count: Callable[[np.ndarray], np.ndarray], total: int, order: int, backoff: float, least: int) -> np.ndarray:
-    """Sum of log S over each document's words; count gives a gram's count, 0 where the table lacks it."""
-    place = places(docs)
-    g = grams(word_hashes(docs), place, order)
-    c = [count(x).astype(np.float64) for x in g]
-    s = np.log(np.maximum(c[0], 1)) - math.log(max(1, total)) + (order - 1) * math.log(backoff)
+def _texts(buckets: int) -> Callable:
+    """A block's documents, in compressed packs that are numbered after its replies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, texts in _blocks(batches):
+            part, at = buckets, 0
+            while at < len(ids):
+                size, end = 0, at
+                while end < len(ids) and (size < 1 << 20 or end == at):
+                    size += len(texts[end])
+                    end += 1
+                rows = pa.record_batch([pa.array(ids[at:end], pa.int64()), pa.array(texts[at:end], pa.string())], ["i", "t"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows)
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([zlib.compress(sink.getvalue(), 3)], pa.binary())], ["block", "part", "data"])
+                part, at = part + 1, end
+
+    return run
+
+
+def scores(sizes: np.ndarray, place: np.ndarray, counts: list[np.ndarray], total: int, backoff: float, least: int) -> np.ndarray:
+    """Sum of log S over each document's words, from the counts of the grams that end at each word (0 where pruned)."""
+    c = [x.astype(np.float64) for x in counts]
+    order = len(c)
+    s = np.log(np.maximum(c[0], 1)) - math.log(max(1, total)) + (order - 1) * math.log(backoff)  # a pruned word occurs once, or nearly
     for n in range(2, order + 1):
         context = np.concatenate((np.ones(1), c[n - 2][:-1])) if len(place) else c[0]
         ok = (place >= n - 1) & (c[n - 1] >= least)
         s[ok] = np.log(c[n - 1][ok]) - np.log(context[ok]) + (order - n) * math.log(backoff)
-    ends = np.cumsum([len(d) for d in docs])
     sums = np.concatenate(([0.0], np.cumsum(s)))
-    return np.array([math.fsum(s[e - len(d) : e]) for e, d in zip(ends, docs, strict=True)]) if len(docs) < 5 else sums[ends] - sums[ends - np.array([len(d) for d in docs])]
-
-
-def _score(order: int, backoff: float, least: int, total: int) -> Callable:
-    """Over rows sorted by block and part: replies first, then texts."""
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+def _score(order: int, backoff: float, least: int, total: int, buckets: int) -> Callable:
+    """Over rows sorted by block and part: a block's replies in order of bucket, then its texts."""
+
+    def close(replies: dict[int, bytes], packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, sizes = [], [], []
+        for data in packs:
+            rows = pa.ipc.open_stream(zlib.decompress(data)).read_all().combine_chunks()
+            docs = [words(t) for t in rows.column("t").to_pylist()]
+            hashes.append(word_hashes(docs))
+            sizes.append(np.array([len(d) for d in docs], dtype=np.int64))
+            ids.append(rows.column("i").combine_chunks())
+        size = np.concatenate(sizes)
+        place = _places(size)
+        g = grams(np.concatenate(hashes), place, order)
+        del hashes
+        some = [place >= n for n in range(order)]
+        # one sort finds every gram's place among the block's own: far faster than a search for each
+        keys, at = np.unique(np.concatenate([x[m] for x, m in zip(g, some, strict=True)]), return_inverse=True)
+        del g
+        # buckets are ranges of the hash: their replies in order are the counts of the sorted grams
+        values = np.concatenate([_from_planes(replies[k]) for k in sorted(replies)]) if replies else None
+        if values is None or len(values) != len(keys):
+            raise RuntimeError("the documents came in another order when read again: write them to a table first")
+        del keys
+        counts, start = [], 0
+        for m in some:
+            c = np.zeros(len(place), dtype=np.uint32)
+            c[m] = values[at[start : (start := start + int(m.sum()))]]
+            counts.append(c)
+        del at
+        total_log = scores(size, place, counts, total, backoff, least)
+        start = 0
+        for i in ids:
+            yield pa.record_batch([i, pa.array(size[start : start + len(i)]), pa.array(total_log[start : start + len(i)])], ["doc_id", "n_tokens", "log_score"])
+            start += len(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, table = None, [], None
-
-        def count(g: np.ndarray) -> np.ndarray:
-            keys, values = table
-            if not len(keys):
-                return np.zeros(len(g))
-            at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            return np.where(keys[at] == g, values[at], 0)
-
+        now, replies, packs = None, {}, []
         for b in batches:
-            for block, part, a, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != now and packs:
+                    yield from close(replies, packs)
                 if block != now:
-                    now, held, table = block, [], None
-                if part == 0:
-                    held.append(unpacked(a, z))
-                    continue
-                if table is None:
-                    if not held:
-                        raise RuntimeError("the documents came in another order when read again: write them to a table first")
-                    held = [x for x in held if len(x[0])]
-                    # buckets are ranges of the hash: in their order the whole is sorted
-                    held.sort(key=lambda x: int(x[0][0]))
-                    table = (np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])) if held else (np.empty(0, np.uint64), np.empty(0, np.uint32))
-                    held = []
-                rows = pa.ipc.open_stream(zlib.decompress(a)).read_all().combine_chunks()
-                docs = [words(t) for t in rows.column("t").to_pylist()]
-                n = np.array([len(d) for d in docs], dtype=np.int64)
-                s = scores(docs, count, total, order, backoff, least)
-                yield pa.record_batch([rows.column("i").combine_chunks(), pa.array(n), pa.array(s)], ["doc_id", "n_tokens", "log_score"])
+                    now, replies, packs = block, {}, []
+                if part < buckets:
+                    replies[part] = data
+                else:
+                    packs.append(data)
+        if packs:
+            yield from close(replies, packs)
 
     return run
 
@@ -243,9 +277,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     buckets = max(n, -(-size.bytes // BUCKET_BYTES))
     asked = docs.mapInArrow(_requests(order, buckets), "bucket int, block long, grams binary, counts binary")
     asked = asked.repartition(n, "bucket").sortWithinPartitions("bucket")
-    replies = asked.mapInArrow(_answer(least, buckets), "block long, part int, a binary, b binary")
-    packs = docs.mapInArrow(_texts, "block long, part int, a binary, b binary")
+    replies = asked.mapInArrow(_answer(least), "block long, part int, data binary")
+    packs = docs.mapInArrow(_texts(buckets), "block long, part int, data binary")
     together = replies.unionByName(packs).repartition(n, "block").sortWithinPartitions("block", "part")
-    out = together.mapInArrow(_score(order, backoff, least, size.words), "doc_id long, n_tokens long, log_score double")
+    out = together.mapInArrow(_score(order, backoff, least, size.words, buckets), "doc_id long, n_tokens long, log_score double")
     mean = F.try_divide("log_score", "n_tokens")
     return out.withColumn("mean_log_score", mean).withColumn("perplexity", F.exp(-mean))
