@@ -312,5 +312,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     counts = common.save(counts.select("length", "part", "n", before.alias("before")), "ranks")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
-    ranked = pieces.join(counts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # counts grow with the tasks: they are merged, whatever their files' size suggests
+    ranked = pieces.join(counts.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
