@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +78,7 @@ class Training:
     batch_size: int = 64
     seed: int = 0
     prior_weight: float = schema.PRIOR_WEIGHT
-    #: Feature rows up to which the driver trains on mini-batches; above, every step is a distributed job over all rows.
+    #: Feature rows up to which the driver holds the mini-batches; above, it streams the same ones from the shared folder.
     local_rows: int = 2_000_000
 
 
@@ -103,80 +106,88 @@ def _initial(rows: DataFrame, t: Training) -> DataFrame:
     return names.select("feature", F.when(F.col("feature") == schema.PRIOR_FEATURE, t.prior_weight).otherwise(start).alias("weight"))
 
 
-def _step(k: int, t: Training, w: Column, g: Column, m: Column, v: Column) -> tuple[Column, Column, Column]:
-    """New weight and moments."""
-    g = g + t.weight_decay * w
-    if t.optimizer == "sgd":
-        m = 0.9 * m + g
-        return w - t.learning_rate * m, m, v
-    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-    return w - t.learning_rate * (m / (1 - 0.9**k)) / (F.sqrt(v / (1 - 0.999**k)) + 1e-8), m, v
+def _numbered(rows: DataFrame, t: Training) -> tuple[DataFrame, DataFrame]:
+    """(feature, number, weight) at the start, and one row a cell: the number of its states, and for each state its y, its number of
+    features and their numbers. A row holds one cell's candidates."""
+    start = checkpointed(dense_number(_initial(rows, t), ["feature"], "number"), "weights")
+    states = rows.join(start.select("feature", "number"), "feature", "left").groupBy(*_STATE).agg(F.max("y").alias("y"), F.sort_array(F.collect_list("number")).alias("f"))
+    cells = states.groupBy(*_CELL).agg(F.sort_array(F.collect_list(F.struct("candidate_val", "y", "f"))).alias("s"))
+    flat = cells.select(*_CELL, F.size("s").alias("n"), F.col("s.y").alias("y"), F.transform("s", lambda x: F.size(x["f"])).alias("width"), F.flatten("s.f").alias("f"))
+    return start, checkpointed(flat, "training")
+
+
+def _turn(t: Training, epoch: int) -> Column:
+    """Cells take their turn in an epoch by this hash, then by tid and attribute."""
+    return F.xxhash64(*_CELL, F.lit(t.seed), F.lit(epoch))
+
+
+_PARTS = ["n", "y", "width", "f"]
+
+
+def _held(cells: DataFrame, t: Training) -> Iterator[list]:
+    """Batches of cells that the driver holds."""
+    data = cells.orderBy(*_CELL).select(*_PARTS, *[_turn(t, e).alias(f"turn{e}") for e in range(t.epochs)]).collect()
+    for e in range(t.epochs):
+        order = np.argsort(np.array([r[len(_PARTS) + e] for r in data], dtype=np.int64), kind="stable")
+        for a in range(0, len(order), t.batch_size):
+            yield [data[k] for k in order[a : a + t.batch_size]]
+
+
+def _streamed(cells: DataFrame, t: Training) -> Iterator[list]:
+    """The same batches in the same order, sorted by Spark in each epoch and read one partition at a time."""
+    for e in range(t.epochs):
+        batch = []
+        for r in cells.orderBy(_turn(t, e), *_CELL).select(*_PARTS).toLocalIterator():
+            batch.append(r)
+            if len(batch) == t.batch_size:
+                yield batch
+                batch = []
+        if batch:
+            yield batch
+
+
+def _optimise(start: DataFrame, batches: Iterator[list], t: Training) -> DataFrame:
+    """(feature, weight) after a step on each batch. The driver holds three numbers a feature, names stay in the table."""
+    w = start.orderBy("number").select("weight").toPandas()["weight"].to_numpy(dtype=np.float64, copy=True)
+    prior = start.where(F.col("feature") == schema.PRIOR_FEATURE).select("number").first()
+    flat = lambda batch, part: np.fromiter(chain.from_iterable(r[part] for r in batch), dtype=np.int64)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for k, batch in enumerate(batches, 1):
+        n = np.fromiter((r[0] for r in batch), dtype=np.int64, count=len(batch))
+        y, width, f = (flat(batch, part) for part in (1, 2, 3))
+        cell, state = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(y)), width)
+        z = np.bincount(state, w[f], minlength=len(y))
+        e = np.exp(z - np.maximum.reduceat(z, np.cumsum(n) - n)[cell])
+        residual = (e / np.bincount(cell, e)[cell] - y) / len(n)
+        g = np.bincount(f, residual[state], minlength=len(w)) + t.weight_decay * w
+        if t.optimizer == "sgd":
+            m = 0.9 * m + g
+            w = w - t.learning_rate * m
+        else:
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - t.learning_rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        if prior is not None:
+            w[prior.number] = t.prior_weight
+    spark = start.sparkSession
+    trained = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(w)), "weight": w}), "number long, weight double")
+    return checkpointed(start.select("feature", "number").join(trained, "number").select("feature", "weight"), "weights")
 
 
 def fit_distributed(rows: DataFrame, t: Training) -> DataFrame:
-    """(feature, weight) by full-batch steps; weights are a table, and each step's is written to the shared folder."""
-    rows = checkpointed(rows, "training")
-    n = max(1, rows.select(*_CELL).distinct().count())
-    state = checkpointed(_initial(rows, t).select("feature", "weight", F.lit(0.0).alias("m"), F.lit(0.0).alias("v")), "weights")
-    for k in range(1, t.epochs + 1):
-        g = gradient(rows, state.select("feature", "weight")).select("feature", (F.col("gradient") / n).alias("g"))
-        w, m, v = _step(k, t, F.col("weight"), F.coalesce("g", F.lit(0.0)), F.col("m"), F.col("v"))
-        w = F.when(F.col("feature") == schema.PRIOR_FEATURE, t.prior_weight).otherwise(w)
-        state = checkpointed(state.join(g, "feature", "left").select("feature", w.alias("weight"), m.alias("m"), v.alias("v")), "weights")
-    return state.select("feature", "weight")
+    """(feature, weight) by the mini-batches of fit_local(), streamed from the shared folder: the driver holds one partition of cells."""
+    start, cells = _numbered(rows, t)
+    return _optimise(start, _streamed(cells, t), t)
 
 
 def fit_local(rows: DataFrame, t: Training) -> DataFrame:
-    """(feature, weight) by seeded mini-batches on the driver; for tables of at most local_rows feature rows."""
-    spark = rows.sparkSession
-    data = rows.orderBy(*_STATE, "feature").toPandas()
-    data["feature"] = data["feature"].fillna("")
-    start = {r.feature: r.weight for r in _initial(rows, t).collect()}
-    names = sorted({*start})
-    number = {f: k for k, f in enumerate(names)}
-    w = np.array([start[f] for f in names])
-    cell = data.groupby(_CELL, sort=False).ngroup().to_numpy()
-    state = data.groupby(_STATE, sort=False).ngroup().to_numpy()
-    feature = data["feature"].map(number).fillna(-1).to_numpy().astype(np.int64)
-    y = data.groupby(state)["y"].first().to_numpy() if len(data) else np.empty(0)
-    cell_of_state = cell[np.unique(state, return_index=True)[1]]
-    row_at = np.searchsorted(cell, np.arange(cell.max() + 2)) if len(cell) else np.zeros(1, dtype=int)
-    state_at = np.searchsorted(cell_of_state, np.arange(len(row_at)))
-    prior = number.get(schema.PRIOR_FEATURE)
-    rng = np.random.default_rng(t.seed)
-    m, v, k = np.zeros(len(w)), np.zeros(len(w)), 0
-    for _ in range(t.epochs if len(cell) else 0):
-        order = rng.permutation(len(row_at) - 1)
-        for a in range(0, len(order), t.batch_size):
-            some = order[a : a + t.batch_size]
-            at = np.concatenate([np.arange(row_at[c], row_at[c + 1]) for c in some])
-            st = np.concatenate([np.arange(state_at[c], state_at[c + 1]) for c in some])
-            f, s = feature[at], np.searchsorted(np.sort(st), state[at])
-            by = np.argsort(st, kind="stable")
-            st = st[by]
-            has = f >= 0
-            z = np.bincount(s[has], w[f[has]], minlength=len(st))
-            group = np.unique(cell_of_state[st], return_inverse=True)[1]
-            top = np.full(group.max() + 1, -np.inf)
-            np.maximum.at(top, group, z)
-            e = np.exp(z - top[group])
-            residual = (e / np.bincount(group, e)[group] - y[st]) / len(some)
-            g = np.bincount(f[has], residual[s[has]], minlength=len(w)) + t.weight_decay * w
-            k += 1
-            if t.optimizer == "sgd":
-                m = 0.9 * m + g
-                w = w - t.learning_rate * m
-            else:
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                w = w - t.learning_rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-            if prior is not None:
-                w[prior] = t.prior_weight
-    return spark.createDataFrame([(f, float(x)) for f, x in zip(names, w, strict=True)], schema.WEIGHTS)
+    """(feature, weight) by mini-batches of cells in hashed order; the driver holds all of at most local_rows feature rows."""
+    start, cells = _numbered(rows, t)
+    return _optimise(start, _held(cells, t), t)
 
 
 def fit(features: DataFrame, domains: DataFrame, cells: DataFrame, t: Training = Training()) -> DataFrame:
     """(feature, weight). The prior's weight is fixed; cells with a missing value, or whose value is no candidate, teach nothing."""
-    rows = training_rows(features, domains, cells)
+    rows = checkpointed(training_rows(features, domains, cells), "training")
     if rows.limit(t.local_rows + 1).count() > t.local_rows:
         return fit_distributed(rows, t)
     return fit_local(rows, t)

@@ -190,6 +190,17 @@ def test_training_agrees_and_learns(spark):
     assert model.unknown_features(feats, weights.where("feature not like 'LOG%'")).first().n_rows > 0
 
 
+def test_training_is_the_same_on_both_sides_of_local_rows(spark):
+    w = wide(spark, [(f"k{i % 4}", f"v{i % 4}", "ab"[i % 2]) for i in range(40)], ["k", "v", "o"])
+    flagged = mark_noisy(to_cells(w), spark.createDataFrame([(1, "v", None)], schema.NOISY_CELLS))
+    dom = tables.checkpointed(domains.generate(w, flagged.where("is_noisy").select("tid", "attr", F.lit(None).cast("string").alias("detection_method"))), "d")
+    feats = tables.checkpointed(features.compile_all(w, dom, []), "f")
+    for optimizer in ("adam", "sgd"):
+        n = model.training_rows(feats, dom, flagged).count()
+        a, b = ({r.feature: r.weight for r in model.fit(feats, dom, flagged, model.Training(epochs=3, batch_size=7, optimizer=optimizer, local_rows=limit)).collect()} for limit in (n, n - 1))
+        assert a and a == b
+
+
 def test_evaluation(spark):
     cells = spark.createDataFrame([(1, "a", "bad", True), (2, "a", "ok", True), (3, "a", "ok", True), (4, "a", None, True), (5, "a", "bad", False), (6, "a", "bad", True)], schema.CELLS)
     truth = spark.createDataFrame([(k, "a", "ok") for k in (1, 2, 3, 4, 5, 6)], schema.TRUTH)
