@@ -137,11 +137,14 @@ def _requests(order: int, buckets: int) -> Callable:
 
 
 def _planes(n: np.ndarray) -> bytes:
-    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Counts of 32 bits where all fit, else of 64; the first byte is their width."""
+    width = 8 if len(n) and int(n.max()) >> 32 else 4
+    return bytes([width]) + n.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
 def _answer(least: int) -> Callable:
@@ -150,7 +153,7 @@ def _answer(least: int) -> Callable:
     def answers(bucket: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
         total = np.bincount(at, np.concatenate([x[2] for x in held]), minlength=len(table)).astype(np.int64)
-        total = np.where(total >= least, np.minimum(total, (1 << 32) - 1), 0)
+        total = np.where(total >= least, total, 0)
         start = 0
         for block, g, _ in held:
             count = total[at[start : start + len(g)]]
@@ -233,7 +236,7 @@ def _score(order: int, backoff: float, least: int, total: int, buckets: int) ->
         del keys
         counts, start = [], 0
         for m in some:
-            c = np.zeros(len(place), dtype=np.uint32)
+            c = np.zeros(len(place), dtype=values.dtype)
             c[m] = values[at[start : (start := start + int(m.sum()))]]
             counts.append(c)
         del at

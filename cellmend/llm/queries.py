@@ -29,7 +29,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(common.table(spark, sf_dir, "documents"))
+    """Every n-gram counts, those that occur once too."""
+    return lm_scores(common.table(spark, sf_dir, "documents"), least=1)
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

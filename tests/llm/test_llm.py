@@ -446,6 +446,23 @@ def test_lm_scores(spark, docs, texts):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_query_counts_every_gram(spark, tmp_path):
+    w = {0: b"a b c a b d".split(), 1: b"b c e".split(), 2: b"f".split()}
+    spark.createDataFrame([(k, b" ".join(x).decode()) for k, x in w.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = Counter(tuple(x[i : i + n]) for x in w.values() for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    for r in queries.op10_lm_score(spark, str(tmp_path)).collect():
+        x, want = w[r.doc_id], 0.0
+        for i in range(len(x)):
+            g = tuple(x[max(0, i - 2) : i + 1])  # every gram was seen: the longest one that the document has room for
+            want += math.log(c[g] / (c[g[:-1]] if len(g) > 1 else 10)) + (3 - len(g)) * math.log(0.4)
+        assert r.log_score == pytest.approx(want)
+
+
+def test_lm_counts_are_not_clipped():
+    for n in ([], [1, 2], [1, 1 << 32, (1 << 40) + 3]):
+        assert lm_score._from_planes(lm_score._planes(np.array(n, dtype=np.int64))).tolist() == n
+
+
 # Pipeline and registry
 
 
