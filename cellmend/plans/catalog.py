@@ -138,6 +138,14 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path, limit=500)
 
 
+@query("SELECT tid, nation, region, segment FROM dirty")
+def csv_source_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole view from several files, whose tids run on from one to the next in order of their names."""
+    path = f"{tables.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    base.raw(spark, sf_dir).repartitionByRange(8, "tid").sortWithinPartitions("tid").select("nation", "region", "segment").write.csv(path, header=True)
+    return tables.read_csv(spark, path)
+
+
 @query("SELECT 'cells' AS name, count(*) AS n_rows FROM cells UNION ALL SELECT 'noisy_cells', count(*) FROM noisy UNION ALL SELECT 'repairs', 0 UNION ALL SELECT 'ext_dict', 0")
 def run_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)

@@ -7,8 +7,9 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -16,23 +17,24 @@ from cellmend import schema
 from cellmend.functions.text import normalise_null, or_placeholder
 
 
-def with_tid(df: DataFrame) -> DataFrame:
-    """tid = 1..n, dense, in file order; a column of this name is replaced. Rows are counted per partition and each partition
-    numbers its own, so nothing is moved; df must read its files in the same order twice, as scans do."""
-    df = df.drop("tid").withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    counts = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    numbered = df.withColumn("__part", part).join(F.broadcast(counts.select("__part", before.alias("__before"))), "__part")
-    tid = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
-    return numbered.select(tid.cast("long").alias("tid"), *[F.col(f"`{c}`") for c in df.columns if c != "__id"])
+def with_tid(df: DataFrame, split: Sequence[Column] = ()) -> DataFrame:
+    """tid = 1..n, dense, in order of the split that a row is from and of rows in a split; a column of this name is replaced. A split is
+    a partition unless columns name it. Rows are counted per split and each split numbers its own, so nothing is moved; df must read its
+    files in the same order twice, as scans do."""
+    names = [f"__split{k}" for k in range(max(1, len(split)))]
+    df = df.select("*", F.monotonically_increasing_id().alias("__id"), *[c.alias(n) for c, n in zip(split or [F.spark_partition_id()], names, strict=True)]).drop("tid")
+    counts = df.groupBy(*names).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__first")  # one row a split
+    numbered = df.join(F.broadcast(counts.select(*names, before.alias("__before"))), names)
+    tid = F.col("__before") + F.col("__id") + 1
+    return numbered.select(tid.cast("long").alias("tid"), *[F.col(f"`{c}`") for c in df.columns if c not in ("__id", *names)])
 
 
 def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Wide table of strings with tid in file order; missing values are null. The reader keeps a file's order within and
-    between its splits."""
+    """Wide table of strings with tid in order of file name and of rows in a file; missing values are null. A scan deals files to its
+    partitions by size, so these are in no such order."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="")
-    wide = with_tid(raw)
+    wide = with_tid(raw, [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")])
     return normalise(wide.where(F.col("tid") <= limit) if limit else wide)
 
 

@@ -9,6 +9,7 @@ from cellmend import schema
 from cellmend.functions.text import log_bin, normalise_null, to_number
 from cellmend.operators import constraints, detect, domains, evaluate, features, model, repair, stats
 from cellmend.operators.cells import mark_noisy, to_cells, to_tuples, to_wide
+from cellmend.plans import catalog, dirty
 from cellmend.plans.pipeline import Repair, Settings
 from cellmend.sources import tables
 
@@ -201,6 +202,20 @@ def test_training_is_the_same_on_both_sides_of_local_rows(spark):
         assert a and a == b
 
 
+def test_csv_tids_run_across_files_of_any_size(spark, tmp_path):
+    for k, rows in enumerate([2, 900, 40, 0, 300]):
+        (tmp_path / f"part-{k}.csv").write_text("a,b\n" + "".join(f"{k},{i}\n" for i in range(rows)))
+    want = [(k, i) for k, rows in enumerate([2, 900, 40, 0, 300]) for i in range(rows)]
+    got = tables.read_csv(spark, str(tmp_path)).orderBy("tid").collect()
+    assert [r.tid for r in got] == [*range(1, len(want) + 1)] and [(int(r.a), int(r.b)) for r in got] == want
+    assert [(r.tid, int(r.a)) for r in tables.read_csv(spark, str(tmp_path), limit=3).orderBy("tid").collect()] == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_csv_source_reads_the_whole_view(spark):
+    got = {tuple(r) for r in catalog.csv_source_whole(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {tuple(r) for r in dirty.dirty(spark, "/root/testdata/sf0.001").collect()} and got
+
+
 def test_evaluation(spark):
     cells = spark.createDataFrame([(1, "a", "bad", True), (2, "a", "ok", True), (3, "a", "ok", True), (4, "a", None, True), (5, "a", "bad", False), (6, "a", "bad", True)], schema.CELLS)
     truth = spark.createDataFrame([(k, "a", "ok") for k in (1, 2, 3, 4, 5, 6)], schema.TRUTH)
