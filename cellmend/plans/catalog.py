@@ -427,7 +427,7 @@ def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)
     feats, noisy = tables.checkpointed(v.features, "features"), tables.checkpointed(v.noisy, "noisy")
     cells = tables.checkpointed(cell_ops.mark_noisy(v.cells, noisy), "cells")
-    return model.predict(feats, v.domains, model.fit(feats, v.domains, cells, model.Training(epochs=3, learning_rate=0.05)), noisy)
+    return model.predict(feats, v.domains, model.fit(feats, v.domains, cells, model.Training()), noisy)
 
 
 # Evaluation and reports

@@ -216,6 +216,13 @@ def test_csv_source_reads_the_whole_view(spark):
     assert got == {tuple(r) for r in dirty.dirty(spark, "/root/testdata/sf0.001").collect()} and got
 
 
+def test_train_predict_trains_as_the_method_does(spark, monkeypatch):
+    used, fit = [], model.fit
+    monkeypatch.setattr(model, "fit", lambda f, d, c, t=model.Training(): used.append(t) or fit(f, d, c, t))
+    assert catalog.train_predict(spark, "/root/testdata/sf0.001").count() > 0
+    assert used == [model.Training()] and used[0].epochs == 10
+
+
 def test_evaluation(spark):
     cells = spark.createDataFrame([(1, "a", "bad", True), (2, "a", "ok", True), (3, "a", "ok", True), (4, "a", None, True), (5, "a", "bad", False), (6, "a", "bad", True)], schema.CELLS)
     truth = spark.createDataFrame([(k, "a", "ok") for k in (1, 2, 3, 4, 5, 6)], schema.TRUTH)
