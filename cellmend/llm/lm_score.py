@@ -3,16 +3,23 @@
 Three relations, all over 64-bit n-gram hashes and stored as packed rows (sorted, delta-coded arrays) so that a shuffle
 carries some six bytes for an n-gram:
   requests(block, gram, n)   the exploded n-grams of every document, pre-aggregated in each block of a few million words;
-  table(gram, count)         their sums, partitioned by ranges of the hash, with grams of a count under `least` pruned;
+  table(gram, count)         their sums, partitioned by ranges of the hash: a range is a partition, so each task sums one;
   replies(block, gram, count) requests joined to the table in the partition where it is made: one shuffle serves count and join. A reply
                               lists counts in the order of the block's sorted grams, which the block makes again from its texts.
 Replies and the block's texts meet by block, and each word of a document takes the longest gram that the table holds:
 S(w | context) = count(context w) / count(context), times `backoff` for each shorter gram; at last count(w) / words. Logarithms are
-summed per document. Counts are over all documents. A frequent gram has one request in a block, however many documents
-hold it, so no bucket of the table grows with a word's frequency; blocks are bounded by their words, buckets by their number.
+summed per document. Counts are over all documents and every n-gram counts, those that occur once too, unless `least` asks to prune.
+With leave_out a document's own occurrences are taken from the counts before it is scored, exactly: what the rest of the corpus
+says of it. A frequent gram has one request in a block, however many documents hold it, so no bucket of the table grows with a word's
+frequency; blocks are bounded by their words, buckets by their bytes, and both are as many as the input asks for.
+
+Grams are known by 64-bit hashes that are not verified: two that share one share a count. Of n distinct grams some n * n / 2^65 pairs
+do: none is likely below a billion grams, and of 10^13 (some 100 TB) a millionth part is touched.
 
 Defined results: null, empty and wordless texts have no words, log_score 0 and null mean and perplexity; rows that repeat are counted and scored
-each; a null id is carried; an empty table gives an empty result; other columns are ignored.
+each (each leaves out itself alone); a null id is carried; an id that is no integer is an error; an empty table gives an empty result; other
+columns are ignored. The documents are read twice and must come in the same order both times, as from a table; if they do not, the job
+fails with a RuntimeError and gives no scores.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cellmend.llm import common
 
-ORDER, BACKOFF, LEAST = 3, 0.4, 2
+ORDER, BACKOFF, LEAST = 3, 0.4, 1
 #: Words of a block, and bytes of text for each bucket of the count table.
 BLOCK_WORDS, BUCKET_BYTES = 2_000_000, 16 << 20
 _CACHE = 300_000
@@ -148,7 +155,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 def _answer(least: int) -> Callable:
-    """Over rows sorted by bucket: sum, prune (to 0) and reply, in the order of each block's own grams."""
+    """Over the rows of one bucket: sum, prune (to 0) and reply, in the order of each block's own grams."""
 
     def answers(bucket: int, held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         table, at = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
@@ -161,16 +168,12 @@ def _answer(least: int) -> Callable:
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_planes(count)], pa.binary())], ["block", "part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held: dict[int, list] = {}
         for b in batches:
             for bucket, block, g, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != now and held:
-                    yield from answers(now, held)
-                    held = []
-                now = bucket
-                held.append((block, *unpacked(g, n)))
-        if held:
-            yield from answers(now, held)
+                held.setdefault(bucket, []).append((block, *unpacked(g, n)))
+        for bucket in sorted(held):  # one, as a bucket is a partition; more if Spark puts small partitions together
+            yield from answers(bucket, held.pop(bucket))
 
     return run
 
@@ -196,21 +199,33 @@ def _texts(buckets: int) -> Callable:
     return run
 
 
-def scores(sizes: np.ndarray, place: np.ndarray, counts: list[np.ndarray], total: int, backoff: float, least: int) -> np.ndarray:
-    """Sum of log S over each document's words, from the counts of the grams that end at each word (0 where pruned)."""
-    c = [x.astype(np.float64) for x in counts]
-    order = len(c)
-    s = np.log(np.maximum(c[0], 1)) - math.log(max(1, total)) + (order - 1) * math.log(backoff)  # a pruned word occurs once, or nearly
+def scores(sizes: np.ndarray, place: np.ndarray, counts: list[np.ndarray], total: np.ndarray | int, backoff: float, least: int) -> np.ndarray:
+    """Sum of log S over each document's words, from the counts of the grams that end at each word (0 where there are none). A word
+    that no count knows is taken to occur once."""
+    order = len(counts)
+    s = np.log(np.maximum(counts[0], 1)) - np.log(np.maximum(total, 1)) + (order - 1) * math.log(backoff)
     for n in range(2, order + 1):
-        context = np.concatenate((np.ones(1), c[n - 2][:-1])) if len(place) else c[0]
-        ok = (place >= n - 1) & (c[n - 1] >= least)
-        s[ok] = np.log(c[n - 1][ok]) - np.log(context[ok]) + (order - n) * math.log(backoff)
-    sums = np.concatenate(([0.0], np.cumsum(s)))
-    ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - sizes]
+        c, before = counts[n - 1], counts[n - 2]
+        at = np.flatnonzero((place >= n - 1) & (c >= least))
+        s[at] = np.log(c[at]) - np.log(np.maximum(before[at - 1], 1)) + (order - n) * math.log(backoff)
+    out, full = np.zeros(len(sizes)), sizes > 0
+    if len(s):
+        out[full] = np.add.reduceat(s, (np.cumsum(sizes) - sizes)[full])
+    return out
+
+
+def own_counts(at: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
+    """How often the gram at each place occurs in its own document. at: a number below `kinds` for each gram."""
+    both = doc.astype(np.int64) * kinds + at
+    by = np.argsort(both, kind="stable")
+    first = np.flatnonzero(np.diff(both[by], prepend=-1))
+    n = np.diff(first, append=len(both))
+    out = np.empty(len(both), dtype=np.int64)
+    out[by] = np.repeat(n, n)
+    return out
 
 
-def _score(order: int, backoff: float, least: int, total: int, buckets: int) -> Callable:
+def _score(order: int, backoff: float, least: int, total: int, buckets: int, leave_out: bool) -> Callable:
     """Over rows sorted by block and part: a block's replies in order of bucket, then its texts."""
 
     def close(replies: dict[int, bytes], packs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +240,7 @@ def _score(order: int, backoff: float, least: int, total: int, buckets: int) ->
         place = _places(size)
         g = grams(np.concatenate(hashes), place, order)
         del hashes
-        some = [place >= n for n in range(order)]
+        some = [np.flatnonzero(place >= n) for n in range(order)]
         # one sort finds every gram's place among the block's own: far faster than a search for each
         keys, at = np.unique(np.concatenate([x[m] for x, m in zip(g, some, strict=True)]), return_inverse=True)
         del g
@@ -233,17 +248,24 @@ def _score(order: int, backoff: float, least: int, total: int, buckets: int) ->
         values = np.concatenate([_from_planes(replies[k]) for k in sorted(replies)]) if replies else None
         if values is None or len(values) != len(keys):
             raise RuntimeError("the documents came in another order when read again: write them to a table first")
-        del keys
-        counts, start = [], 0
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        counts, less, start = [], [], 0
         for m in some:
+            mine = at[start : (start := start + len(m))]
             c = np.zeros(len(place), dtype=values.dtype)
-            c[m] = values[at[start : (start := start + int(m.sum()))]]
+            c[m] = values[mine]
             counts.append(c)
-        del at
-        total_log = scores(size, place, counts, total, backoff, least)
+            if leave_out:
+                rest = c.astype(np.int64)
+                rest[m] -= own_counts(mine, doc[m], len(keys))
+                less.append(rest)
+        del at, keys
+        results = [scores(size, place, counts, total, backoff, least)]
+        if leave_out:
+            results.append(scores(size, place, less, total - size[doc], backoff, max(1, least)))
         start = 0
         for i in ids:
-            yield pa.record_batch([i, pa.array(size[start : start + len(i)]), pa.array(total_log[start : start + len(i)])], ["doc_id", "n_tokens", "log_score"])
+            yield pa.record_batch([i, pa.array(size[start : start + len(i)]), *(pa.array(x[start : start + len(i)]) for x in results)], ["doc_id", "n_tokens", "log_score", "left_out_log_score"][: 2 + len(results)])
             start += len(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,19 +292,20 @@ def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([sum(len(words(t)) for t in texts)]), pa.array([sum(map(len, texts))])], ["words", "bytes"])
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
-    """Per document: doc_id, n_tokens, log_score (natural, summed), mean_log_score, perplexity."""
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST, leave_out: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, log_score (natural, summed), mean_log_score, perplexity; with leave_out also left_out_log_score,
+    by the counts without the document's own occurrences."""
     spark = df.sparkSession
     common.ship(spark)
     docs = common.texts(df, id_col, text_col)
     size = docs.mapInArrow(_size, "words long, bytes long").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, -(-size.bytes // BUCKET_BYTES))
+    cores = spark.sparkContext.defaultParallelism
+    buckets = max(cores, -(-size.bytes // BUCKET_BYTES))
     asked = docs.mapInArrow(_requests(order, buckets), "bucket int, block long, grams binary, counts binary")
-    asked = asked.repartition(n, "bucket").sortWithinPartitions("bucket")
-    replies = asked.mapInArrow(_answer(least), "block long, part int, data binary")
+    replies = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer(least), "block long, part int, data binary")
     packs = docs.mapInArrow(_texts(buckets), "block long, part int, data binary")
-    together = replies.unionByName(packs).repartition(n, "block").sortWithinPartitions("block", "part")
-    out = together.mapInArrow(_score(order, backoff, least, size.words, buckets), "doc_id long, n_tokens long, log_score double")
+    together = replies.unionByName(packs).repartition(max(cores, -(-size.words // BLOCK_WORDS)), "block").sortWithinPartitions("block", "part")
+    kinds = "doc_id long, n_tokens long, log_score double" + (", left_out_log_score double" if leave_out else "")
+    out = together.mapInArrow(_score(order, backoff, least, size.words, buckets, leave_out), kinds)
     mean = F.try_divide("log_score", "n_tokens")
     return out.withColumn("mean_log_score", mean).withColumn("perplexity", F.exp(-mean))

@@ -29,8 +29,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every n-gram counts, those that occur once too."""
-    return lm_scores(common.table(spark, sf_dir, "documents"), least=1)
+    """Rounded, as sums of logarithms differ in the last digits by the order of their terms."""
+    scored = lm_scores(common.table(spark, sf_dir, "documents"), leave_out=True)
+    return scored.select("doc_id", "n_tokens", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("log_score", 4), ("left_out_log_score", 4), ("mean_log_score", 6))])
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,6 +111,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 
+_GRAMS = ("w[i]", "w[i - 1] || ' ' || w[i]", "w[i - 2] || ' ' || w[i - 1] || ' ' || w[i]")
+
+#: c1 to c3: in the corpus, o1 to o3: in the document itself; b1, b2 the gram before, which is the context.
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
+p AS (SELECT r, i, {", ".join(f"CASE WHEN i >= {k} THEN {g} END AS g{k}" for k, g in enumerate(_GRAMS, 1))} FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+c AS (SELECT r, i, {", ".join(f"count(*) OVER (PARTITION BY g{k}) AS c{k}, count(*) OVER (PARTITION BY r, g{k}) AS o{k}" for k in (1, 2, 3))} FROM p),
+x AS (SELECT *, c1 - o1 AS d1, c2 - o2 AS d2, c3 - o3 AS d3, count(*) OVER () AS total, count(*) OVER (PARTITION BY r) AS own,
+             lag(c1) OVER v AS b1, lag(c2) OVER v AS b2, lag(c1 - o1) OVER v AS e1, lag(c2 - o2) OVER v AS e2 FROM c WINDOW v AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, sum(CASE WHEN i >= 3 THEN ln(c3 / b2) WHEN i = 2 THEN ln(c2 / b1) + ln(0.4) ELSE ln(c1 / total) + 2 * ln(0.4) END) AS a,
+             sum(CASE WHEN i >= 3 AND d3 > 0 THEN ln(d3 / e2) WHEN i >= 2 AND d2 > 0 THEN ln(d2 / e1) + ln(0.4)
+                 ELSE ln(greatest(d1, 1) / greatest(total - own, 1)) + 2 * ln(0.4) END) AS b FROM x GROUP BY r)
+SELECT doc_id, len(w) AS n_tokens, round(coalesce(a, 0), 4) + 0.0 AS log_score, round(coalesce(b, 0), 4) + 0.0 AS left_out_log_score,
+       round(a / nullif(len(w), 0), 6) + 0.0 AS mean_log_score
+FROM d LEFT JOIN s USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extract": op2_html_extract,
@@ -127,4 +145,5 @@ SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_url_filter": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op10_lm_score": OP10_SQL,
 }

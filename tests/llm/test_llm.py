@@ -421,31 +421,53 @@ def test_secrets(spark):
 # 10
 
 
+def slow_score(x, c, total, least=1):
+    out = 0.0
+    for i in range(len(x)):
+        for n in (3, 2, 1):
+            g = tuple(x[i - n + 1 : i + 1]) if i >= n - 1 else None
+            if n == 1:
+                out += math.log(max(c[g], 1) / max(total, 1)) + 2 * math.log(0.4)
+            elif g and c[g] >= least:
+                out += math.log(c[g] / c[g[:-1]]) + (3 - n) * math.log(0.4)
+                break
+    return out
+
+
+def all_grams(x):
+    return Counter(tuple(x[i : i + n]) for n in (1, 2, 3) for i in range(len(x) - n + 1))
+
+
 def test_lm_scores(spark, docs, texts):
     w = {k: lm_score.words(t or "") for k, t in enumerate(texts)}
-    c = Counter(tuple(x[i : i + n]) for x in w.values() for n in (1, 2, 3) for i in range(len(x) - n + 1))
+    c = sum(map(all_grams, w.values()), Counter())
     total = sum(map(len, w.values()))
-
-    def slow(x):
-        out = 0.0
-        for i in range(len(x)):
-            for n in (3, 2, 1):
-                g = tuple(x[i - n + 1 : i + 1]) if i >= n - 1 else None
-                if n == 1:
-                    out += math.log(c[g] / total) + 2 * math.log(0.4)
-                elif g and c[g] >= 2:
-                    out += math.log(c[g] / c[g[:-1]]) + (3 - n) * math.log(0.4)
-                    break
-        return out
-
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs, leave_out=True).collect()}
     assert got.keys() == w.keys()
     for k, x in w.items():
-        assert got[k].n_tokens == len(x) and got[k].log_score == pytest.approx(slow(x), rel=1e-6, abs=1e-6)
+        assert got[k].n_tokens == len(x) and got[k].log_score == pytest.approx(slow_score(x, c, total), rel=1e-6, abs=1e-6)
+        assert got[k].left_out_log_score == pytest.approx(slow_score(x, c - all_grams(x), total - len(x)), rel=1e-6, abs=1e-6)
         assert (got[k].perplexity is None) == (not x)
+    pruned = {n: m for n, m in c.items() if m >= 2}
+    for r in lm_score.lm_scores(docs, least=2).collect():
+        assert r.log_score == pytest.approx(slow_score(w[r.doc_id], Counter(pruned), total, 2), rel=1e-6, abs=1e-6)
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_edges(spark):
+    df = corpus(spark, ["a b", "a b", "a b", None, ""], [1, 1, None, 4, 5])
+    got = sorted(((r.doc_id, r.n_tokens, round(r.log_score, 6), round(r.left_out_log_score, 6)) for r in lm_score.lm_scores(df, leave_out=True).collect()), key=str)
+    a, b = round(math.log(3 / 6) + 3 * math.log(0.4), 6), round(math.log(2 / 4) + 3 * math.log(0.4), 6)
+    assert got == sorted([(1, 2, a, b), (1, 2, a, b), (None, 2, a, b), (4, 0, 0.0, 0.0), (5, 0, 0.0, 0.0)], key=str)
+
+
+def test_lm_a_bucket_is_a_task(spark, docs):
+    """However many buckets there are, no task gets two: they are partitions by their number, not by its hash."""
+    asked = common.texts(docs, "doc_id", "text").mapInArrow(lm_score._requests(3, 20), "bucket int, block long, grams binary, counts binary")
+    held = asked.repartitionById(20, F.col("bucket")).select(F.spark_partition_id().alias("p"), "bucket").distinct().collect()
+    assert len(held) == len({r.p for r in held}) and len({r.bucket for r in held}) > 10
+
+
 def test_lm_query_counts_every_gram(spark, tmp_path):
     w = {0: b"a b c a b d".split(), 1: b"b c e".split(), 2: b"f".split()}
     spark.createDataFrame([(k, b" ".join(x).decode()) for k, x in w.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
