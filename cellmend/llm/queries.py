@@ -31,7 +31,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded, as sums of logarithms differ in the last digits by the order of their terms."""
     scored = lm_scores(common.table(spark, sf_dir, "documents"), leave_out=True)
-    return scored.select("doc_id", "n_tokens", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("log_score", 4), ("left_out_log_score", 4), ("mean_log_score", 6))])
+    return scored.select("doc_id", "n_tokens", *[(F.round(c, n) + 0.0).alias(c) for c, n in (("log_score", 6), ("left_out_log_score", 6), ("mean_log_score", 6))])
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,7 +123,7 @@ x AS (SELECT *, c1 - o1 AS d1, c2 - o2 AS d2, c3 - o3 AS d3, count(*) OVER () AS
 s AS (SELECT r, sum(CASE WHEN i >= 3 THEN ln(c3 / b2) WHEN i = 2 THEN ln(c2 / b1) + ln(0.4) ELSE ln(c1 / total) + 2 * ln(0.4) END) AS a,
              sum(CASE WHEN i >= 3 AND d3 > 0 THEN ln(d3 / e2) WHEN i >= 2 AND d2 > 0 THEN ln(d2 / e1) + ln(0.4)
                  ELSE ln(greatest(d1, 1) / greatest(total - own, 1)) + 2 * ln(0.4) END) AS b FROM x GROUP BY r)
-SELECT doc_id, len(w) AS n_tokens, round(coalesce(a, 0), 4) + 0.0 AS log_score, round(coalesce(b, 0), 4) + 0.0 AS left_out_log_score,
+SELECT doc_id, len(w) AS n_tokens, round(coalesce(a, 0), 6) + 0.0 AS log_score, round(coalesce(b, 0), 6) + 0.0 AS left_out_log_score,
        round(a / nullif(len(w), 0), 6) + 0.0 AS mean_log_score
 FROM d LEFT JOIN s USING (r)
 """
