@@ -1,14 +1,15 @@
 """Benchmark decontamination with one FM-index per training shard.
 
-A shard is some megabytes of documents in one task. Its words become symbols of the benchmark's alphabet; a run of
-words outside it can't be part of a benchmark passage and becomes one separator. Backward search runs all windows of
-the benchmark at once through the wavelet matrix, sampled suffix positions locate their occurrences, and what they
-cover is merged per document. Documents are never shuffled. The benchmark is taken in blocks of a stated
-size, each broadcast on its own, so what an executor holds does not grow with the benchmark either.
-
-Defined results: null text has no words; items without words have no window; a null item_id is written as
-an empty string; equal item_ids count once; rows are never merged, so ids may repeat or be null; an empty benchmark
-hits nothing; other columns are ignored, or carried where asked for.
+A shard is some megabytes of documents in one task. Those of its words that the benchmark has become symbols; a run of
+others can't be part of a benchmark passage and becomes one separator. Backward search runs windows of the benchmark
+at once through the wavelet matrix, sampled suffix positions locate their occurrences, and what they cover is merged per document.
+Documents are never shuffled and each shard's index is built once, in one pass with one worker a task. The benchmark is taken in
+blocks of a stated size, each broadcast on its own and looked at in turn; a worker holds one at a time, so its memory does not grow
+with the benchmark.
+
+Defined results: null text has no words; items without words have no window; a null item_id counts as one item and is written as
+an empty string; equal item_ids count once; rows are never merged, so ids may repeat or be null, and are of any type; an empty
+benchmark hits nothing; other columns are ignored, or carried where asked for.
 """
 
 from __future__ import annotations
@@ -36,86 +37,107 @@ def words(text: str) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of some benchmark items as symbol rows: 1 separates, 2 and up are words."""
+    """Windows of some benchmark items as rows of numbers of their words, right-aligned; 0 where a row is shorter."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.symbol: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            ids = tuple(self.symbol.setdefault(w, len(self.symbol) + 2) for w in words(text))
+            ids = tuple(number.setdefault(w, len(number) + 1) for w in words(text))
             k = min(window, len(ids))
             for i in range(len(ids) - k + 1 if k else 0):
                 found.setdefault(ids[i : i + k], set()).add(item)
-        self.sigma = len(self.symbol) + 2
+        self.words = list(number)
         self.lengths = np.array([len(x) for x in found], dtype=np.int64)
-        self.rows = np.zeros((len(found), window), dtype=np.int64)
+        self.rows = np.zeros((len(found), window), dtype=np.int32)
         for r, x in enumerate(found):
             self.rows[r, window - len(x) :] = x
         self.items = [sorted(x) for x in found.values()]
-        self.shortest = int(self.lengths.min()) if found else 0
 
-    def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where windows occur in ids (0: a word outside the alphabet, or a document's end): start and window number."""
-        none = np.empty(0, dtype=np.int64)
+
+class Shard:
+    """Documents of one task, as symbols, and the FM-index of all that can match: 1 separates, 2 and up are words that some
+    block of the benchmark knows. The alphabet is the shard's own, so it and the index are bounded by the shard."""
+
+    def __init__(self, docs: list[list[bytes]], known: set[bytes], shortest: int):
+        self.symbol = {w: k for k, w in enumerate(sorted(known), 2)}
+        self.starts = np.concatenate(([0], np.cumsum([len(d) + 1 for d in docs])))
+        get = self.symbol.get
+        ids = np.zeros(int(self.starts[-1]), dtype=np.int32)  # 0: a word outside the alphabet, or a document's end
+        for d, a in zip(docs, self.starts.tolist()):  # noqa: B905  starts has one more
+            ids[a : a + len(d)] = [get(w, 0) for w in d]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
         start, end = edge[::2], edge[1::2]
-        long = end - start >= self.shortest
+        long = end - start >= shortest
         start, size = start[long], (end - start)[long]
-        if not self.shortest or not len(start):
-            return none, none
+        self.index = None
+        if not shortest or not len(start):
+            return
         # the runs that are long enough, with a separator after each
         place = np.cumsum(size + 1) - size - 1
         total = int(size.sum() + len(size))
-        origin = np.arange(total) + np.repeat(start - place, size + 1)
-        text = np.where(np.arange(total) == np.repeat(place + size, size + 1), 1, ids[np.minimum(origin, len(ids) - 1)])
-        index = FMIndex(text, self.sigma)
-        lo, hi = index.search(self.rows, self.lengths)
+        self.origin = np.arange(total) + np.repeat(start - place, size + 1)
+        text = np.where(np.arange(total) == np.repeat(place + size, size + 1), 1, ids[np.minimum(self.origin, len(ids) - 1)])
+        self.index = FMIndex(text, len(self.symbol) + 2)
+
+    def occurrences(self, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where windows of p occur: document, word in it, and window number."""
+        none = np.empty(0, dtype=np.int64)
+        if self.index is None:
+            return none, none, none
+        get = self.symbol.get
+        mine = np.fromiter((get(w, 0) for w in [b"", *p.words]), dtype=np.int64, count=len(p.words) + 1)
+        rows = mine[p.rows]
+        able = np.flatnonzero((rows > 0).sum(axis=1) == p.lengths)  # a word that the shard has not: no occurrence
+        lo, hi = self.index.search(rows[able], p.lengths[able])
         hit = np.flatnonzero(lo < hi)
         n = (hi - lo)[hit]
-        rows = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return origin[index.locate(rows)], np.repeat(hit, n)
+        at = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = self.origin[self.index.locate(at)]
+        doc = np.searchsorted(self.starts, at, side="right") - 1
+        return doc, at - self.starts[doc], np.repeat(able[hit], n)
 
 
-def _scan(phrases, first: bool, last: bool, inside: str | None, clean: bool) -> Callable:
-    """Adds one block's hits. Columns in: row[, text][, n_words, spans, items]; out: the same, without text at the end.
-    inside: the field of the row that holds the text, where it is not a column of its own. clean: at the end give the
-    cleaned rows alone; it is done here, since a second Python pass would double a task's workers."""
-    done = 1 if inside else 2  # columns before n_words
+def _loaded(block, keep: bool) -> Phrases:
+    """A broadcast's value, which the worker does not hold on to unless it is the only one."""
+    value = block.value
+    if not keep:
+        block.__dict__.pop("_value", None)
+    return value
+
+
+def _scan(blocks: list, shortest: int, inside: str | None, clean: bool) -> Callable:
+    """row[, text] to row, n_words, spans, items. inside: the field of the row that holds the text, where it is not a column of
+    its own. clean: give the cleaned rows alone; it is done here, since a second Python pass would double a task's workers."""
 
     def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = phrases.value
-        get, ids, starts = p.symbol.get, [], [0]
-        for b in batches:
-            for t in common.texts_of(b, inside):
-                ids.append(np.array([get(w, 0) for w in words(t)] + [0], dtype=np.int32))
-                starts.append(starts[-1] + len(ids[-1]))
-        starts = np.array(starts)
-        at, window = p.occurrences(np.concatenate(ids))
-        del ids
-        doc = np.searchsorted(starts, at, side="right") - 1
-        at = at - starts[doc]
-        by = np.lexsort((at, doc))
-        bounds = np.searchsorted(doc[by], np.arange(len(starts)))
+        docs = [words(t) for b in batches for t in common.texts_of(b, inside)]
+        here, known = set().union(*docs), set()
+        for block in blocks:
+            known.update(here.intersection(_loaded(block, len(blocks) == 1).words))
+        s = Shard(docs, known, shortest)
+        n_words = [len(d) for d in docs]
+        del docs, here, known
+        spans: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
+        for block in blocks:
+            p = _loaded(block, len(blocks) == 1)
+            doc, at, window = s.occurrences(p)
+            for d, a, z in zip(doc.tolist(), at.tolist(), (at + p.lengths[window]).tolist(), strict=True):
+                spans.setdefault(d, []).append((a, z))
+            both = np.unique(doc * max(1, len(p.items)) + window)
+            for d, w in zip((both // max(1, len(p.items))).tolist(), (both % max(1, len(p.items))).tolist(), strict=True):
+                items.setdefault(d, set()).update(p.items[w])
         k = 0
         for b in batches:
-            spans, items, n = [], [], []
-            for i in range(b.num_rows):
-                mine = by[bounds[k] : bounds[k + 1]]
-                old = [] if first else b.column(done + 1)[i].as_py()
-                pairs = sorted({*zip(old[::2], old[1::2], strict=True), *zip(at[mine].tolist(), (at[mine] + p.lengths[window[mine]]).tolist(), strict=True)})
-                spans.append(merge(pairs))
-                names = set() if first else set(b.column(done + 2)[i].as_py())
-                for w in np.unique(window[mine]).tolist():
-                    names.update(p.items[w])
-                items.append(sorted(names))
-                n.append(int(starts[k + 1] - starts[k] - 1))
-                k += 1
-            text = [] if inside or last else [b.column(1)]
-            if clean and last:
-                yield _cleaned(b.column(0), spans, n, inside)
+            mine = range(k, k + b.num_rows)
+            k += b.num_rows
+            n, found = n_words[mine.start : mine.stop], [merge(sorted(spans.get(i, ()))) for i in mine]
+            if clean:
+                yield _cleaned(b.column(0), found, n, inside)
                 continue
-            cols = [b.column(0), *text, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.record_batch(cols, ["row", *["text"] * len(text), "n_words", "spans", "items"])
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array([sorted(items.get(i, ())) for i in mine], pa.list_(pa.string()))]
+            yield pa.record_batch(cols, ["row", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -183,14 +205,14 @@ def find_spans(df: DataFrame, row: Column | None, text_col: str, benchmark: Data
     common.ship(spark)
     out = common.rows_with_text(df, row, text_col)
     kind = dict(out.dtypes)["row"]
-    parts = list(blocks(benchmark, item_col, bench_text_col, block_bytes))
-    for k, items in enumerate(parts):
-        last = k == len(parts) - 1
-        phrases = spark.sparkContext.broadcast(Phrases(items, window))
-        text = "" if row is None or last else "text string, "
-        kinds = f"row {kind}" if clean and last else f"row {kind}, {text}n_words long, spans array<int>, items array<string>"
-        out = out.mapInArrow(_scan(phrases, k == 0, last, text_col if row is None else None, clean), kinds)
-    return out
+    parts, shortest = [], window
+    for items in blocks(benchmark, item_col, bench_text_col, block_bytes):
+        p = Phrases(items, window)
+        if len(p.lengths):
+            shortest = min(shortest, int(p.lengths.min()))
+            parts.append(spark.sparkContext.broadcast(p))
+    kinds = f"row {kind}" if clean else f"row {kind}, n_words long, spans array<int>, items array<string>"
+    return out.mapInArrow(_scan(parts, shortest if parts else 0, text_col if row is None else None, clean), kinds)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

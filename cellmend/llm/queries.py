@@ -98,13 +98,13 @@ def _words(text: str) -> str:
 
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents),
-b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {_words("text")} AS w FROM benchmark) WHERE len(w) > 0),
+b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_words("text")} AS w FROM benchmark) WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM b, unnest(range(1, len(w) - k + 2)) AS t(i)),
 dw AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
        FROM d, (SELECT DISTINCT k FROM bw) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i)),
 hits AS (SELECT DISTINCT r, i, dw.k, item_id FROM dw JOIN bw USING (k, g)),
 n AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + k)) AS t(p) GROUP BY r),
-m AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+m AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items
       FROM hits GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

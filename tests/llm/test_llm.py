@@ -383,6 +383,17 @@ def test_decontaminate(spark):
     assert decontaminate.cut("One two, three four.", [1, 3]) == "One  four."
 
 
+def test_decontaminate_in_one_pass(spark, docs):
+    """Many blocks of the benchmark are looked at inside one pass: workers of a task do not grow with them."""
+    items = [(f"i{k}", " ".join(random.Random(k).choices(WORDS, k=15))) for k in range(60)] + [(None, "alpha beta")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(decontaminate.blocks(bench, "item_id", "text", 400))) > 10
+    found = decontaminate.decontaminate(docs, bench, window=3, block_bytes=400)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    one = decontaminate.decontaminate(docs, bench, window=3)
+    assert sorted(map(str, found.collect())) == sorted(map(str, one.collect())) and found.where("n_items > 1").count()
+
+
 # 9
 
 
