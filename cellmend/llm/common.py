@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,8 @@ def column(name: str) -> Column:
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) alone: other columns, whatever their names, never reach the operator. Null text is empty."""
+    """(doc_id, text) alone: other columns, whatever their names, never reach the operator. Null text is empty. Ids are integers of any
+    width, or texts of such; Spark raises an error for any other."""
     return df.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
 
 
@@ -164,4 +166,22 @@ def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(column(id_col)), column(id_col)).limit(n)
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame, most: dict[int, int], id_col: str, text_col: str, chars: int) -> tuple[list[str], list[int]]:
+    """Different texts of at most `chars` characters with their labels, at most most[y] of label y, from known (doc_id, y; an id once).
+    The documents are read once for all labels; of rows that share an id the greatest text counts."""
+    known = save(known, "labels")
+    # more ids than are wanted: some documents are too long, or not there
+    ids = [bounded_sample(known.where(F.col("y") == y), "doc_id", 2 * n) for y, n in most.items()]
+    if not ids:
+        return [], []
+    found = texts(docs, id_col, text_col).join(F.broadcast(reduce(DataFrame.union, ids)), "doc_id").where(F.length("text") <= chars)
+    found = save(found.groupBy("doc_id", "y").agg(F.max("text").alias("text")), "sample")
+    out: dict[tuple[str, int], None] = {}
+    for y, n in most.items():
+        out |= dict.fromkeys((r.text, y) for r in bounded_sample(found.where(F.col("y") == y), "doc_id", n).collect())
+    drop_saved(known)
+    drop_saved(found)
+    return [t for t, _ in out], [y for _, y in out]
+
+
 SPACES = re.compile(r"\s+")

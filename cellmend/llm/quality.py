@@ -7,9 +7,11 @@ often tokens repeat, how long the text is). The result is the expected grade, an
 Learning takes a bounded sample of rated documents (parameters below) that are not held out; scoring takes every token of every
 document in one narrow pass. Nothing is shuffled; the weights are of a fixed size and broadcast.
 
-Defined results: null and empty texts are scored by their length alone; with ratings of one grade only every score is that grade's
-smoothed share; ratings that are null are skipped, of repeated ones the largest counts; rows that repeat or have null ids are scored like
-others; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are scored by their length alone; with ratings of one grade only every text has that grade; with
+none to learn from (no labels, none outside the held-out fold, none of a document that is there) every text has the tail probability 1/2;
+ratings that are null are skipped, of repeated ones the largest counts, and of repeated documents the greatest text is learnt from; rows
+that repeat or have null ids are scored like others; an id that is no integer is an error; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,16 +112,8 @@ def fit(texts: list[str], ratings: list[int], epochs: int = EPOCHS, seed: int =
         for some in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
             row = np.repeat(np.arange(len(some)), [len(at[k]) for k in some])
             k, v, c = np.concatenate([at[i] for i in some]), np.concatenate([value[i] for i in some]), y[some]
-            z = np.bincount(row, w[k] * v, minlength=len(some))
-            ends = np.concatenate(([-np.inf], th, [np.inf]))
-            up, low = _sigmoid(ends[c + 1] - z), _sigmoid(ends[c] - z)
-            p = np.maximum(up - low, 1e-12)
-            d_up, d_low = up * (1 - up) / p, low * (1 - low) / p  # of log p by the upper and the lower threshold
-            g = np.bincount(k, ((d_up - d_low)[row]) * v, minlength=len(w)) / len(some) + 1e-5 * w
-            g_th = np.zeros(len(th) + 2)
-            np.add.at(g_th, c + 1, -d_up)
-            np.add.at(g_th, c, d_low)
-            g_th = g_th[1:-1] / len(some)
+            g, g_th = gradient(w, th, row, k, v, c)
+            g += 1e-5 * w
             sq += g * g
             sq_th += g_th * g_th
             w -= 0.5 * g / np.sqrt(sq)
@@ -128,6 +122,20 @@ def fit(texts: list[str], ratings: list[int], epochs: int = EPOCHS, seed: int =
     return model
 
 
+def gradient(w: np.ndarray, th: np.ndarray, row: np.ndarray, k: np.ndarray, v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood of grades c by weights and thresholds; text row[i] has feature k[i] with value v[i]."""
+    z = np.bincount(row, w[k] * v, minlength=len(c))
+    ends = np.concatenate(([-np.inf], th, [np.inf]))
+    up, low = _sigmoid(ends[c + 1] - z), _sigmoid(ends[c] - z)
+    p = np.maximum(up - low, 1e-12)
+    d_up, d_low = up * (1 - up) / p, low * (1 - low) / p  # of log p by the upper and the lower threshold
+    g = np.bincount(k, ((d_up - d_low)[row]) * v, minlength=len(w)) / len(c)
+    g_th = np.zeros(len(th) + 2)
+    np.add.at(g_th, c + 1, -d_up)
+    np.add.at(g_th, c, d_low)
+    return g, g_th[1:-1] / len(c)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most `sample` documents of each grade, none of them held out, of at most sample_chars characters. Grades are few: up to 100."""
     known = labels.select(common.column(id_col).cast("long").alias("doc_id"), common.column(grade_col).cast("int").alias("y"))
@@ -135,14 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grades = sorted(r.y for r in known.select("y").distinct().limit(101).collect())
     if len(grades) > 100:
         raise ValueError("over 100 grades: this is no ordinal rating")
-    texts, ratings = [], []
-    for g in grades:
-        ids = common.bounded_sample(known.where(F.col("y") == g), "doc_id", 2 * sample)
-        found = common.texts(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").where(F.length("text") <= sample_chars).dropDuplicates(["doc_id"])
-        rows = common.bounded_sample(found, "doc_id", sample).collect()
-        rows = list({r.text: r for r in rows}.values())
-        texts += [r.text for r in rows]
-        ratings += [g] * len(rows)
+    texts, ratings = common.labelled_texts(docs, known, dict.fromkeys(grades, sample), id_col, text_col, sample_chars)
     return fit(texts, ratings)
 
 
@@ -163,6 +164,6 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     common.ship(spark)
     model = model or learn(df, labels, id_col, text_col, **more)
     if not len(model.grades):
-        raise ValueError("no rated documents to learn from")
+        model = Model(np.zeros(1 << BITS), np.zeros(1), np.array([least - 1, least]))
     scored = common.texts(df, id_col, text_col).mapInArrow(_scores(spark.sparkContext.broadcast(model), least), "doc_id long, expected_grade double, tail_probability double, predicted int")
     return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", "predicted", (F.col("tail_probability") >= keep).alias("kept"))

@@ -10,8 +10,8 @@ Learning takes a bounded sample of labelled documents (parameters below) that ar
 document, in one narrow pass: nothing is shuffled, and only the weights, of a fixed size, are broadcast.
 
 Defined results: null, empty and wordless texts get the score of a document without toxic words; without any toxic or any clean
-label every score is the smoothed share of toxic labels; labels that are null or repeat count once, toxic if one of them is; rows that
-repeat or have null ids are scored like others; an empty table gives an empty result; other columns are ignored.
+label every score is the smoothed share of toxic labels; labels that are null or repeat count once, toxic if one of them is; of repeated
+documents the greatest text is learnt from; rows that repeat or have null ids, of any type, are scored like others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -271,15 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most `sample` toxic and twice as many clean documents, none of them held out, of at most sample_chars characters."""
     known = labels.select(common.column(id_col).cast("long").alias("doc_id"), common.column(label_col).cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~common.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    # more ids than are wanted: some documents are too long, or not there
-    ids = common.bounded_sample(known.where("y = 1"), "doc_id", 2 * sample).union(common.bounded_sample(known.where("y = 0"), "doc_id", 3 * sample))
-    found = common.texts(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").where(F.length("text") <= sample_chars).dropDuplicates(["doc_id"])
-    texts, y = [], []
-    for k, n in ((1, sample), (0, 2 * sample)):
-        rows = common.bounded_sample(found.where(F.col("y") == k), "doc_id", n).collect()
-        rows = list({r.text: r for r in rows}.values())
-        texts += [r.text for r in rows]
-        y += [k] * len(rows)
+    texts, y = common.labelled_texts(docs, known, {1: sample, 0: 2 * sample}, id_col, text_col, sample_chars)
     return fit(texts, y)
 
 

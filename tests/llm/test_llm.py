@@ -157,6 +157,61 @@ def test_quality_edges(spark, docs):
     assert quality.quality(docs.limit(0), labels, model=quality.fit(["a", "b!"], [0, 1])).count() == 0
 
 
+def test_quality_without_ratings(spark, docs):
+    """No document, no label, none outside the held-out fold, none of a document that is there: a constant score."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    held = labels.where(common.held_out(F.col("doc_id")))
+    assert quality.quality(docs.limit(0), labels).count() == 0 and held.count()
+    for none in (labels.limit(0), held, labels.withColumn("doc_id", F.col("doc_id") + 10**6), labels.withColumn("quality", F.lit(None).cast("int"))):
+        out = quality.quality(docs, none).select("expected_grade", "tail_probability", "predicted", "kept").distinct().collect()
+        assert [tuple(r) for r in out] == [(0.5, 0.5, 0, True)]
+
+
+def test_quality_gradient():
+    """Against differences of the likelihood itself, summed in plain loops."""
+    rng = np.random.default_rng(3)
+    w, th = rng.normal(size=7), np.array([-1.0, 0.3, 1.1])
+    x, c = rng.normal(size=(9, 7)) * (rng.random((9, 7)) < 0.6), rng.integers(0, 4, 9)
+    row, k = np.nonzero(x)
+
+    def loss(w, th):
+        total = 0.0
+        for i in range(9):
+            z = sum(w[j] * x[i, j] for j in range(7))
+            below = [0.0, *(1 / (1 + math.exp(z - t)) for t in th), 1.0]
+            total -= math.log(below[c[i] + 1] - below[c[i]])
+        return total / 9
+
+    g, g_th = quality.gradient(w, th, row, k, x[row, k], c)
+    step = lambda n, j: 1e-6 * (np.arange(n) == j)
+    assert np.allclose(g, [(loss(w + step(7, j), th) - loss(w - step(7, j), th)) / 2e-6 for j in range(7)], atol=1e-7)
+    assert np.allclose(g_th, [(loss(w, th + step(3, j)) - loss(w, th - step(3, j))) / 2e-6 for j in range(3)], atol=1e-7)
+
+
+def test_quality_scores_by_hand(spark, docs, texts):
+    labels = spark.createDataFrame([(k, k % 3) for k in range(36)], "doc_id long, quality int")
+    m = quality.learn(docs, labels)
+    got = {r.doc_id: r for r in quality.quality(docs, labels, model=m, least=2).collect()}
+    for k, t in enumerate(texts):
+        tokens = (t or "").split()
+        z = sum(m.weight[f] for x in tokens for f in quality.token_features(x)) / max(1, len(tokens)) + sum(m.weight[f] for f in quality.text_features(tokens, t or ""))
+        below = [0.0, *(1 / (1 + math.exp(z - t)) for t in m.thresholds), 1.0]
+        p = [b - a for a, b in zip(below, below[1:])]  # noqa: B905, RUF007
+        assert got[k].expected_grade == pytest.approx(p[1] + 2 * p[2]) and got[k].tail_probability == pytest.approx(p[2]) and got[k].predicted == int(np.argmax(p))
+
+
+def test_learning_is_defined_for_repeated_documents(spark):
+    """Whatever the order of rows: of those that share an id the greatest text is learnt from, of labels the largest."""
+    known = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, y int")
+    rows = [(k % 40, f"text {k} {'w' * (k % 7)}") for k in range(200)]
+    want = {max(t for i, t in rows if i == k): k % 2 for k in range(40)}
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        found = common.labelled_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), known, {0: 50, 1: 50}, "doc_id", "text", 100)
+        assert dict(zip(*found, strict=True)) == want
+    assert len(common.labelled_texts(spark.createDataFrame(rows, "doc_id long, text string"), known, {0: 3, 1: 5}, "doc_id", "text", 100)[0]) == 8
+
+
 # 4
 
 
@@ -294,6 +349,34 @@ def test_toxicity_held_out_and_spans(spark):
     assert flat.weight.any() == 0
 
 
+def test_toxicity_scores_by_enumeration(spark):
+    """The document's score from all taggings of its words, each weighed by itself."""
+    rng = random.Random(3)
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), np.array([-1.0, -0.5, 1.5]), np.array([-1.0, 0.4, 0.8]))
+    np.copyto(model.weight, np.random.default_rng(1).normal(size=1 << toxicity.BITS))
+    docs = [" ".join(rng.choices(WORDS, k=k)) for k in range(1, 9)]
+
+    def slow(t):
+        e = [sum(model.weight[f] for f in toxicity.features(w)) for w in toxicity.words(t)]
+        tr = [[0, model.move[0]], [model.move[1], model.move[2]]]
+        total, one = 0.0, [0.0] * len(e)
+        for bits in range(1 << len(e)):
+            y = [(bits >> k) & 1 for k in range(len(e))]
+            w = math.exp(sum(a * b for a, b in zip(e, y, strict=True)) + sum(tr[a][b] for a, b in zip(y, y[1:])))  # noqa: B905, RUF007
+            total += w
+            one = [o + w * b for o, b in zip(one, y, strict=True)]
+        p = [o / total for o in one]
+        peak = max(-12, min(12, max(math.log(x / (1 - x)) for x in p)))
+        z = model.score[0] + model.score[1] * peak + model.score[2] * math.log(sum(p) + 1e-5)
+        return 1 / (1 + math.exp(-z)), [i for i, x in enumerate(p) if x >= 0.5]
+
+    got = {r.row: r for r in toxicity.toxicity(corpus(spark, docs), None, F.col("doc_id"), model=model).collect()}
+    for k, t in enumerate(docs):
+        score, bad = slow(t)
+        words = [w for a, b in zip(got[k].spans[::2], got[k].spans[1::2], strict=True) for w in t[a:b].split()]
+        assert got[k].score == pytest.approx(score) and words == [t.split()[i] for i in bad]
+
+
 def test_no_label_of_the_held_out_fold(spark, docs):
     labels = spark.createDataFrame([(k, int(zlib.crc32(str(k).encode()) % 3 == 1)) for k in range(30)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)  # the only toxic labels are held out
