@@ -6,7 +6,6 @@ import math
 from collections import Counter
 
 
-
 def symbols(text: str, literal: int) -> list[str]:
     """The first `literal` characters stand for themselves; further on letters and digits stand for their class."""
     return [c if k < literal else "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for k, c in enumerate(text)]
