@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -126,6 +127,48 @@ def test_html_extract_matches_articles(spark):
         assert got[r.page_id].text == plain and got[r.page_id].n_chars == len(plain)
 
 
+#: Layouts that training has no form of, written for this test alone.
+UNSEEN_FORMS = [
+    """<html y="0"><body><div class="%c"><div class="%c"><a href="/">%w</a></div></div><div class="%c"><section><div class="%c" y="1"><h2>%w</h2><p>%s</p><div><p>%s</p></div><p>%s</p></div></section></div><div class="impressum">%s</div></body></html>""",
+    """<html y="0"><body><ul class="%c">%l</ul><center><div y="1"><font>%s</font><br><br><font>%s</font><br>%s</div></center><div class="kommentare"><p>%s</p><p>%s</p></div></body></html>""",
+    """<html y="0"><body><div id="wrap"><div id="%c">%a</div><div id="%c"><div><div><div y="1">%b</div></div></div></div><div id="%c"><ul>%l</ul></div></div></body></html>""",
+    """<html y="0"><body y="1"><h1>%w</h1>%s<p>%s<p>%s<ul><li>%s<li>%s</ul>%s</body></html>""",
+    """%s<p>%s</p>%s""",
+    """<html y="0"><body><table><tr><td class="menu">%a</td><td y="1"><p>%s</p><p>%s</p><p>%s</p></td><td class="werbung">%s</td></tr></table></body></html>""",
+    """<html y="0"><body><main><div class="%c" y="1"><p>%s</p><aside class="anuncio" y="0"><p>%s</p></aside><p>%s</p><p>%s</p></div><div class="comentarios"><p>%s</p></div></main><footer>%s</footer></body></html>""",
+    """<html y="0"><body><div class="cookie">%s</div><article y="1"><section><h2>%w</h2>%b</section><section><h2>%w</h2>%b</section></article><nav>%a</nav></body></html>""",
+]
+
+
+def test_html_forms_left_out():
+    """Characters of main text that are found, and of what is found that are main text, on layouts never trained on."""
+    m = html_extract.default_model()
+    right = wanted = found = 0
+    for page in labelled_pages.pages(12, seed=123, forms=UNSEEN_FORMS):
+        t = html_extract.parse(page)
+        y, got = html_extract._labels(t), m.messages(m.forest([t]))[2] > 0
+        for k, text in t.parts:
+            if k >= 0:
+                n = len(text.strip())
+                right, wanted, found = right + n * (y[k] and got[k]), wanted + n * y[k], found + n * got[k]
+    assert right / wanted >= 0.9 and right / found >= 0.9, (right / wanted, right / found)
+
+
+def test_html_without_any_known_name():
+    m = html_extract.default_model()
+    one, two = "A text of words, one. Two of them.", "More words of it, here. And there."
+    for page in (f"{one} {two}", f"<body>{one}<br>{two}</body>", f'<div id="x"><p>{one}</p><p>{two}</p></div>', f'<body><div class="c1"><div class="c2"><p>{one}</p><p>{two}</p></div></div></body>',
+                 f'<article><p>{one}</p><p>{two}</p><div class="kommentare"><p>Kurz. Gut.</p></div></article>'):
+        assert m.texts([page]) == [f"{one} {two}"]
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 150_000 + "</x>" * 140_000, "<p><button>" + "<b>" * 150_000 + "<hr>" * 140_000, "<a \">\"\">" * 120_000 + "'", "<script>" + "</script " * 110_000, "</" * 500_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.default_model().texts([page])
+    assert time.process_time() - began < 20
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<article><p>a&lt;b &#233; c&nbsp;d</p><script>x='</p>'</script><!-- no --><p>l<b>ef</b>t\n right</article><footer>f</footer>"),
             (None, "u", "<p"), (3, "u", "<div>" * 3000), (4, "u", "<article><div class='comments'><p>nice, one. yes</p></div><p>Body text, here. Good.</p></article>")]
