@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmend import schema
+from cellmend.functions.layout import apart
 from cellmend.functions.text import to_number
 from cellmend.operators.cells import quoted, to_cells
 from cellmend.operators.constraints import Constraint
@@ -23,7 +25,7 @@ class Detector(Protocol):
 def fd_support(wide: DataFrame, key: str, target: str) -> DataFrame:
     """(k, v, n): how often a target value occurs with a key value, both present."""
     pairs = wide.select(quoted(key).alias("k"), quoted(target).alias("v")).where("k is not null and v is not null")
-    return pairs.groupBy("k", "v").agg(F.count("*").alias("n"))
+    return pairs.groupBy("k", "v", apart("k", "v")).agg(F.count("*").alias("n")).drop("__apart")
 
 
 def pair_violations(wide: DataFrame, c: Constraint) -> DataFrame:
@@ -36,7 +38,8 @@ def pair_violations(wide: DataFrame, c: Constraint) -> DataFrame:
 
 
 def violations(wide: DataFrame, c: Constraint, min_support: int = schema.MIN_SUPPORT) -> DataFrame:
-    """(constraint_id, tid1, tid2); a pair that violates a dependency stays if the value on either side has support."""
+    """(constraint_id, tid1, tid2); a pair that violates a dependency stays if the value on either side has support. As many rows as there are
+    pairs, which grow with the square of a block: violation_classes() says the same in as many rows as there are values."""
     if c.fd is None:
         return pair_violations(wide, c).select(F.lit(c.id).alias("constraint_id"), "tid1", "tid2")
     key, target = c.fd
@@ -52,15 +55,57 @@ def violation_table(found: DataFrame) -> DataFrame:
     return found.select("constraint_id", F.array(F.col("tid1").cast("long"), F.col("tid2").cast("long")).alias("tids"))
 
 
+def _classes(wide: DataFrame, c: Constraint) -> DataFrame:
+    """(key, value, n): tuples by their values of the equal and of the unequal attributes, all of them present."""
+    keys, targets = sorted({p.left for p in c.equal}), sorted({p.left for p in c.unequal})
+    array = lambda names: F.array(*[quoted(a).cast("string") for a in names]).cast("array<string>")
+    rows = wide.dropna(subset=[*keys, *targets]).select(array(keys).alias("key"), array(targets).alias("value"))
+    return rows.groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+def violation_classes(wide: DataFrame, c: Constraint, min_support: int = schema.MIN_SUPPORT) -> DataFrame:
+    """(constraint_id, key, value, n, n_links): tuples that are the same to a constraint with the same attributes on both sides, and with
+    how many tuples each of them violates it, after support. All tuples of a class are linked to all of each other class of
+    their key (with two unequal attributes or more: to those that differ in all), so no pair need be written.
+
+    One row for each value of a key, from counts alone. With two unequal attributes or more the classes of a key meet each other.
+    """
+    empty = wide.select(F.lit(c.id).alias("constraint_id"), F.array().cast("array<string>").alias("key"), F.array().cast("array<string>").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_links"))
+    if not c.equal:
+        return empty.limit(0)
+    if not c.symmetric:
+        raise ValueError(f"constraint {c.id} compares different attributes: its violations are pairs")
+    counts = _classes(wide, c)
+    if not c.unequal:  # sharing a key is the violation
+        linked = counts.withColumn("n_links", F.col("n") - 1)
+    elif c.block_form is not None:
+        well = F.col("n") >= (min_support if c.fd else 0)
+        blocks = counts.groupBy("key", apart("key")).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(well, F.col("n"))), F.lit(0)).alias("supported")).drop("__apart")
+        linked = counts.join(blocks, "key").withColumn("n_links", F.when(well, F.col("all") - F.col("n")).otherwise(F.col("supported")))
+    else:
+        differ = reduce(and_, [F.col("l.value")[k] != F.col("r.value")[k] for k in range(len({p.left for p in c.unequal}))])
+        met = counts.alias("l").join(counts.alias("r"), (F.col("l.key") == F.col("r.key")) & differ)
+        linked = met.groupBy(F.col("l.key").alias("key"), F.col("l.value").alias("value")).agg(F.first("l.n").alias("n"), F.sum("r.n").alias("n_links"))
+    return linked.where("n_links > 0").select(F.lit(c.id).alias("constraint_id"), "key", "value", "n", "n_links")
+
+
 def violation_counts(wide: DataFrame, c: Constraint) -> DataFrame:
     """(constraint_id, n_pairs): how many pairs violate c before support, from counts per block and value where these decide it."""
-    if c.block_form is None:
+    if not c.equal or not c.symmetric:
         return pair_violations(wide, c).agg(F.lit(c.id).alias("constraint_id"), F.count("*").alias("n_pairs"))
-    keys, target = c.block_form
-    rows = wide.dropna(subset=[*keys, target]).groupBy(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)], quoted(target).alias("v")).agg(F.count("*").cast("decimal(38,0)").alias("n"))
-    blocks = rows.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    pairs = F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0)).cast("long")
-    return blocks.agg(pairs.alias("n_pairs")).select(F.lit(c.id).alias("constraint_id"), "n_pairs")
+    return _n_pairs(violation_classes(wide, c, 0)).select(F.lit(c.id).alias("constraint_id"), "n_pairs")
+
+
+def _n_pairs(classes: DataFrame) -> DataFrame:
+    n = F.sum(F.col("n").cast("decimal(38,0)") * F.col("n_links"))
+    return classes.agg(F.coalesce(n / 2, F.lit(0)).cast("long").alias("n_pairs"))
+
+
+def violation_summary(wide: DataFrame, c: Constraint, min_support: int = schema.MIN_SUPPORT) -> DataFrame:
+    """(constraint_id, n_potential, n_ignored, n_stored): violating pairs, those without support on either side, and those that stay."""
+    before = violation_counts(wide, c).select("constraint_id", F.col("n_pairs").alias("n_potential"))
+    after = _n_pairs(violation_classes(wide, c, min_support)) if c.fd else before.select(F.col("n_potential").alias("n_pairs"))
+    return before.join(after).select("constraint_id", "n_potential", (F.col("n_potential") - F.col("n_pairs")).alias("n_ignored"), F.col("n_pairs").alias("n_stored"))  # a row each
 
 
 def fd_noisy(wide: DataFrame, key: str, target: str, min_support: int = schema.MIN_SUPPORT) -> DataFrame:
@@ -86,8 +131,15 @@ def general_noisy(wide: DataFrame, c: Constraint) -> DataFrame:
         # a tuple takes part in a violation if its block holds two different targets
         keys, target = c.block_form
         present = side.dropna(subset=[*keys, target])
-        mixed = present.groupBy(*[quoted(k) for k in keys]).agg(F.min(quoted(target)).alias("__low"), F.max(quoted(target)).alias("__high")).where(F.col("__low") != F.col("__high"))
-        tids = present.join(mixed, keys, "left_semi").select("tid")
+        mixed = present.groupBy(*[quoted(k) for k in keys], apart(*keys)).agg(F.min(quoted(target)).alias("__low"), F.max(quoted(target)).alias("__high")).where(F.col("__low") != F.col("__high"))
+        tids = present.join(mixed.drop("__apart"), keys, "left_semi").select("tid")
+    elif c.symmetric:
+        # distinct rows of the attributes meet, not tuples; each finds its tuples again
+        present = side.dropna(subset=c.attributes)
+        rows = present.select(*[quoted(a) for a in c.attributes]).distinct()
+        bad = rows.alias("l").join(rows.alias("r"), c.condition("l", "r"), "left_semi")
+        bad = bad.select("*", apart(*c.attributes)).distinct().drop("__apart")
+        tids = present.join(bad, c.attributes, "left_semi").select("tid")
     else:
         first = side.alias("l").join(side.alias("r"), c.condition("l", "r") & (F.col("l.tid") < F.col("r.tid")), "left_semi").select("tid")
         second = side.alias("r").join(side.alias("l"), c.condition("l", "r") & (F.col("l.tid") < F.col("r.tid")), "left_semi").select("tid")
@@ -101,9 +153,17 @@ class DenialConstraintDetector:
     def __init__(self, constraints: Sequence[Constraint], min_support: int = schema.MIN_SUPPORT):
         self.constraints, self.min_support = list(constraints), min_support
 
-    def find_violations(self, wide: DataFrame) -> DataFrame:
-        parts = [violations(wide, c, self.min_support) for c in self.constraints]
-        return reduce(DataFrame.unionByName, parts)
+    def find_violations(self, wide: DataFrame, all_pairs: bool = True) -> DataFrame:
+        """Pairs of tuples; without all_pairs only those of constraints that have no classes."""
+        chosen = [c for c in self.constraints if all_pairs or not c.symmetric]
+        parts = [violations(wide, c, self.min_support) for c in chosen]
+        none = wide.select(F.lit(0).alias("constraint_id"), F.col("tid").alias("tid1"), F.col("tid").alias("tid2")).limit(0)
+        return reduce(DataFrame.unionByName, parts, none)
+
+    def find_classes(self, wide: DataFrame) -> DataFrame:
+        """violation_classes() of all constraints with the same attributes on both sides."""
+        parts = [violation_classes(wide, c, self.min_support) for c in self.constraints if c.symmetric]
+        return reduce(DataFrame.unionByName, parts) if parts else wide.sparkSession.createDataFrame([], schema.VIOLATION_CLASSES)
 
     def detect(self, wide: DataFrame) -> DataFrame:
         parts = [fd_noisy(wide, *c.fd, self.min_support) if c.fd else general_noisy(wide, c) for c in self.constraints]
@@ -145,4 +205,4 @@ def run_detectors(wide: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     return merge(*[d.detect(wide) for d in detectors])
 
 
-__all__ = ["DenialConstraintDetector", "Detector", "OutlierDetector", "merge", "run_detectors", "violations"]
+__all__ = ["DenialConstraintDetector", "Detector", "OutlierDetector", "merge", "run_detectors", "violation_classes", "violations"]

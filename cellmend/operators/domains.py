@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmend import schema
+from cellmend.functions.layout import apart
 from cellmend.operators import stats
 from cellmend.operators.cells import to_cells
 from cellmend.sources.tables import checkpointed
@@ -25,7 +26,7 @@ def from_context(cells: DataFrame, cands: DataFrame, related: DataFrame) -> Data
     """(tid, attr, candidate_val) that the other cells of a tuple propose."""
     usable = cands.join(F.broadcast(related.select(F.col("attr_x").alias("target"), F.col("attr_y").alias("cond"))), ["target", "cond"])  # pairs of attributes
     # all candidates of a context value in one row (at most `top` for each attribute): the join then carries each cell once
-    listed = usable.groupBy("cond", "cond_val").agg(F.collect_set(F.struct("target", "candidate_val")).alias("found"))
+    listed = usable.groupBy("cond", "cond_val", apart("cond", "cond_val")).agg(F.collect_set(F.struct("target", "candidate_val")).alias("found")).drop("__apart")
     context = cells.where("val is not null").select("tid", F.col("attr").alias("cond"), F.col("val").alias("cond_val"))
     return context.join(listed, ["cond", "cond_val"]).select("tid", F.explode("found").alias("f")).select("tid", F.col("f.target").alias("attr"), F.col("f.candidate_val").alias("candidate_val"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -34,6 +34,23 @@ def encode_features(features: DataFrame) -> DataFrame:
     return dense_number(features.select("feature").distinct(), ["feature"], "feature_idx")
 
 
+def encode_states(features: DataFrame, domains: DataFrame, cells: DataFrame) -> DataFrame:
+    """(var_idx, domain_idx, feature_idx): the design, a row for each feature that a candidate has. Features of cells or candidates
+    that are not there have none: encoding_skips() counts them."""
+    of_cell = encode_domains(domains).join(encode_variables(cells).select("tid", "attr", "var_idx"), _CELL)
+    rows = features.join(of_cell, _STATE).join(encode_features(features), "feature")
+    return rows.select("var_idx", "domain_idx", "feature_idx")
+
+
+def encoding_skips(features: DataFrame, domains: DataFrame, cells: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: n_rows of features and those that the design leaves out, each for its first reason: n_unknown_cells,
+    n_unknown_candidates, and n_unknown_features, whose name is not among known (feature)."""
+    mark = lambda df, keys, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    rows = features.join(mark(cells, _CELL, "c"), _CELL, "left").join(mark(domains, _STATE, "d"), _STATE, "left").join(mark(known, ["feature"], "f"), "feature", "left")
+    cell, state, name = (F.col(x).isNotNull() for x in "cdf")
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if(~cell).alias("n_unknown_cells"), F.count_if(cell & ~state).alias("n_unknown_candidates"), F.count_if(cell & state & ~name).alias("n_unknown_features"))
+
+
 def labels(domains: DataFrame, cells: DataFrame) -> DataFrame:
     """(tid, attr, y): the domain index of a cell's own value, -1 where it is missing or no candidate."""
     own = encode_domains(domains).select("tid", "attr", F.col("candidate_val").alias("val"), "domain_idx")
@@ -98,18 +115,23 @@ def gradient(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.where("feature is not null").join(residual, _STATE).groupBy("feature").agg(F.sum("residual").alias("gradient"))
 
 
-def _initial(rows: DataFrame, t: Training) -> DataFrame:
+def initial_weights(rows: DataFrame, t: Training = Training()) -> DataFrame:
+    """(feature, weight): uniform by name within one over the root of the number of features; the prior's is fixed."""
     names = rows.where("feature is not null").select("feature").distinct()
     n = max(1, names.count())
-    unit = F.pmod(F.xxhash64(F.col("feature"), F.lit(t.seed)), F.lit(1 << 30)) / float(1 << 30)  # uniform by name: the same everywhere
+    unit = F.pmod(F.xxhash64(F.col("feature"), F.lit(t.seed)), F.lit(1 << 30)) / float(1 << 30)  # the same everywhere
     start = (2 * unit - 1) / float(np.sqrt(n))
     return names.select("feature", F.when(F.col("feature") == schema.PRIOR_FEATURE, t.prior_weight).otherwise(start).alias("weight"))
 
 
-def _numbered(rows: DataFrame, t: Training) -> tuple[DataFrame, DataFrame]:
+def _numbered(rows: DataFrame, t: Training, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(feature, number, weight) at the start, and one row a cell: the number of its states, and for each state its y, its number of
     features and their numbers. A row holds one cell's candidates."""
-    start = checkpointed(dense_number(_initial(rows, t), ["feature"], "number"), "weights")
+    first = initial_weights(rows, t)
+    if start is not None:  # features that it lacks begin as without it
+        given = start.select("feature", F.col("weight").alias("__given"))
+        first = first.join(given, "feature", "left").select("feature", F.when(F.col("feature") == schema.PRIOR_FEATURE, t.prior_weight).otherwise(F.coalesce("__given", "weight")).alias("weight"))
+    start = checkpointed(dense_number(first, ["feature"], "number"), "weights")
     states = rows.join(start.select("feature", "number"), "feature", "left").groupBy(*_STATE).agg(F.max("y").alias("y"), F.sort_array(F.collect_list("number")).alias("f"))
     cells = states.groupBy(*_CELL).agg(F.sort_array(F.collect_list(F.struct("candidate_val", "y", "f"))).alias("s"))
     flat = cells.select(*_CELL, F.size("s").alias("n"), F.col("s.y").alias("y"), F.transform("s", lambda x: F.size(x["f"])).alias("width"), F.flatten("s.f").alias("f"))
@@ -124,18 +146,26 @@ def _turn(t: Training, epoch: int) -> Column:
 _PARTS = ["n", "y", "width", "f"]
 
 
-def _held(cells: DataFrame, t: Training) -> Iterator[list]:
+#: Batches of cells of an epoch, in their order.
+Epochs = Callable[[int], Iterator[list]]
+
+
+def _held(cells: DataFrame, t: Training) -> Epochs:
     """Batches of cells that the driver holds."""
     data = cells.orderBy(*_CELL).select(*_PARTS, *[_turn(t, e).alias(f"turn{e}") for e in range(t.epochs)]).collect()
-    for e in range(t.epochs):
+
+    def batches(e: int) -> Iterator[list]:
         order = np.argsort(np.array([r[len(_PARTS) + e] for r in data], dtype=np.int64), kind="stable")
         for a in range(0, len(order), t.batch_size):
             yield [data[k] for k in order[a : a + t.batch_size]]
 
+    return batches
+
 
-def _streamed(cells: DataFrame, t: Training) -> Iterator[list]:
+def _streamed(cells: DataFrame, t: Training) -> Epochs:
     """The same batches in the same order, sorted by Spark in each epoch and read one partition at a time."""
-    for e in range(t.epochs):
+
+    def batches(e: int) -> Iterator[list]:
         batch = []
         for r in cells.orderBy(_turn(t, e), *_CELL).select(*_PARTS).toLocalIterator():
             batch.append(r)
@@ -145,52 +175,98 @@ def _streamed(cells: DataFrame, t: Training) -> Iterator[list]:
         if batch:
             yield batch
 
+    return batches
 
-def _optimise(start: DataFrame, batches: Iterator[list], t: Training) -> DataFrame:
-    """(feature, weight) after a step on each batch. The driver holds three numbers a feature, names stay in the table."""
+
+@dataclass(frozen=True)
+class Epoch:
+    """What one epoch came to: the mean loss of its usable batches, batches skipped as their loss was no number, and the share of
+    training cells whose likeliest candidate is their own value after it."""
+
+    epoch: int
+    loss: float
+    n_skipped: int
+    accuracy: float | None
+
+
+class _Batch:
+    """A batch's cells as flat arrays."""
+
+    def __init__(self, rows: list):
+        flat = lambda part: np.fromiter(chain.from_iterable(r[part] for r in rows), dtype=np.int64)
+        self.n = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
+        self.y, width, self.f = flat(1), flat(2), flat(3)
+        self.cell, self.state = np.repeat(np.arange(len(self.n)), self.n), np.repeat(np.arange(len(self.y)), width)
+
+    def probabilities(self, w: np.ndarray) -> np.ndarray:
+        z = np.bincount(self.state, w[self.f], minlength=len(self.y))
+        e = np.exp(z - np.maximum.reduceat(z, np.cumsum(self.n) - self.n)[self.cell])
+        return e / np.bincount(self.cell, e)[self.cell]
+
+    def right(self, w: np.ndarray) -> int:
+        """Cells whose likeliest candidate, of equals the first, is their own value."""
+        p = self.probabilities(w)
+        first = np.lexsort((np.arange(len(p)), -p, self.cell))[np.cumsum(self.n) - self.n]
+        return int(self.y[first].sum())
+
+
+def _optimise(start: DataFrame, epochs: Epochs, t: Training, history: list[Epoch] | None = None) -> DataFrame:
+    """(feature, weight) after a step on each batch. The driver holds three numbers a feature, names stay in the table. history, where
+    given, gets an Epoch for each, at the price of another look at all cells. A batch whose loss is no finite number makes no step."""
     w = start.orderBy("number").select("weight").toPandas()["weight"].to_numpy(dtype=np.float64, copy=True)
     prior = start.where(F.col("feature") == schema.PRIOR_FEATURE).select("number").first()
-    flat = lambda batch, part: np.fromiter(chain.from_iterable(r[part] for r in batch), dtype=np.int64)
-    m, v = np.zeros(len(w)), np.zeros(len(w))
-    for k, batch in enumerate(batches, 1):
-        n = np.fromiter((r[0] for r in batch), dtype=np.int64, count=len(batch))
-        y, width, f = (flat(batch, part) for part in (1, 2, 3))
-        cell, state = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(y)), width)
-        z = np.bincount(state, w[f], minlength=len(y))
-        e = np.exp(z - np.maximum.reduceat(z, np.cumsum(n) - n)[cell])
-        residual = (e / np.bincount(cell, e)[cell] - y) / len(n)
-        g = np.bincount(f, residual[state], minlength=len(w)) + t.weight_decay * w
-        if t.optimizer == "sgd":
-            m = 0.9 * m + g
-            w = w - t.learning_rate * m
-        else:
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - t.learning_rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        if prior is not None:
-            w[prior.number] = t.prior_weight
+    m, v, k = np.zeros(len(w)), np.zeros(len(w)), 0
+    for epoch in range(t.epochs):
+        losses, skipped = [], 0
+        for rows in epochs(epoch):
+            b = _Batch(rows)
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                p = b.probabilities(w)
+                loss = -np.log(p[b.y == 1]).sum() / len(b.n)
+            if not np.isfinite(loss):
+                skipped += 1
+                continue
+            losses.append(float(loss))
+            k += 1
+            residual = (p - b.y) / len(b.n)
+            g = np.bincount(b.f, residual[b.state], minlength=len(w)) + t.weight_decay * w
+            if t.optimizer == "sgd":
+                m = 0.9 * m + g
+                w = w - t.learning_rate * m
+            else:
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - t.learning_rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+            if prior is not None:
+                w[prior.number] = t.prior_weight
+        if history is not None:
+            n = right = 0
+            for rows in epochs(epoch):
+                n, right = n + len(rows), right + _Batch(rows).right(w)
+            history.append(Epoch(epoch, float(np.mean(losses)) if losses else 0.0, skipped, right / n if n else None))
     spark = start.sparkSession
     trained = spark.createDataFrame(pd.DataFrame({"number": np.arange(len(w)), "weight": w}), "number long, weight double")
     return checkpointed(start.select("feature", "number").join(trained, "number").select("feature", "weight"), "weights")
 
 
-def fit_distributed(rows: DataFrame, t: Training) -> DataFrame:
+def fit_distributed(rows: DataFrame, t: Training, start: DataFrame | None = None, history: list[Epoch] | None = None) -> DataFrame:
     """(feature, weight) by the mini-batches of fit_local(), streamed from the shared folder: the driver holds one partition of cells."""
-    start, cells = _numbered(rows, t)
-    return _optimise(start, _streamed(cells, t), t)
+    first, cells = _numbered(rows, t, start)
+    return _optimise(first, _streamed(cells, t), t, history)
 
 
-def fit_local(rows: DataFrame, t: Training) -> DataFrame:
+def fit_local(rows: DataFrame, t: Training, start: DataFrame | None = None, history: list[Epoch] | None = None) -> DataFrame:
     """(feature, weight) by mini-batches of cells in hashed order; the driver holds all of at most local_rows feature rows."""
-    start, cells = _numbered(rows, t)
-    return _optimise(start, _held(cells, t), t)
+    first, cells = _numbered(rows, t, start)
+    return _optimise(first, _held(cells, t), t, history)
 
 
-def fit(features: DataFrame, domains: DataFrame, cells: DataFrame, t: Training = Training()) -> DataFrame:
-    """(feature, weight). The prior's weight is fixed; cells with a missing value, or whose value is no candidate, teach nothing."""
+def fit(features: DataFrame, domains: DataFrame, cells: DataFrame, t: Training = Training(), start: DataFrame | None = None, history: list[Epoch] | None = None) -> DataFrame:
+    """(feature, weight). The prior's weight is fixed; cells with a missing value, or whose value is no candidate, teach nothing. start
+    (feature, weight) goes on from weights that are there; history, a list, gets an Epoch for each."""
     rows = checkpointed(training_rows(features, domains, cells), "training")
     if rows.limit(t.local_rows + 1).count() > t.local_rows:
-        return fit_distributed(rows, t)
-    return fit_local(rows, t)
+        return fit_distributed(rows, t, start, history)
+    return fit_local(rows, t, start, history)
 
 
 def accuracy(features: DataFrame, domains: DataFrame, cells: DataFrame, weights: DataFrame) -> DataFrame:
@@ -211,4 +287,18 @@ def active_difference(features: DataFrame, tid: int, attr: str, candidate: str,
     return a.subtract(b).withColumn("side", F.lit("target")).union(b.subtract(a).withColumn("side", F.lit("other")))
 
 
-__all__ = ["Training", "accuracy", "active_difference", "encode_domains", "encode_features", "encode_variables", "fit", "gradient", "labels", "predict", "scores", "softmax", "split", "training_rows"]
+def inspect_sample(features: DataFrame, domains: DataFrame, cells: DataFrame, k: int = 0) -> DataFrame:
+    """(tid, attr, target_val, other_val, side, feature): of the k-th training cell in order of tid and attribute, counted from 0, the features
+    that its own value alone has (side `target`), or alone its first other candidate (`other`). Without another candidate other_val is
+    null and all are the target's. No rows if there are not so many training cells."""
+    evidence = cells.where(~F.col("is_noisy") & F.col("val").isNotNull()).select("tid", "attr", F.col("val").alias("target_val"))
+    trained = evidence.join(domains.select("tid", "attr", F.col("candidate_val").alias("target_val")).distinct(), ["tid", "attr", "target_val"], "left_semi")
+    sample = trained.orderBy(*_CELL).offset(k).limit(1)
+    others = domains.join(F.broadcast(sample), _CELL).where(F.col("candidate_val") != F.col("target_val")).groupBy(*_CELL).agg(F.min("candidate_val").alias("other_val"))  # a row
+    sample = sample.join(others, _CELL, "left")
+    mine = features.join(F.broadcast(sample), _CELL)
+    per = mine.groupBy(*_CELL, "target_val", "other_val", "feature").agg(F.max(F.col("candidate_val") == F.col("target_val")).alias("t"), F.max(F.col("candidate_val").eqNullSafe(F.col("other_val"))).alias("o"))
+    return per.where(F.col("t") != F.col("o")).select(*_CELL, "target_val", "other_val", F.when(F.col("t"), "target").otherwise("other").alias("side"), "feature")
+
+
+__all__ = ["Epoch", "Training", "accuracy", "active_difference", "encode_domains", "encode_features", "encode_states", "encode_variables", "encoding_skips", "fit", "gradient", "initial_weights", "inspect_sample", "labels", "predict", "scores", "softmax", "split", "training_rows"]

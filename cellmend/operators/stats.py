@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmend import schema
+from cellmend.functions.layout import apart
 from cellmend.functions.text import or_placeholder
 from cellmend.operators.cells import attributes, quoted
 
@@ -19,7 +20,7 @@ def single_stats(cells: DataFrame) -> DataFrame:
 
 def value_counts(cells: DataFrame) -> DataFrame:
     """(attr, val, n) of values that are present."""
-    return cells.where("val is not null").groupBy("attr", "val").agg(F.count("*").alias("n"))
+    return cells.where("val is not null").groupBy("attr", "val", apart("attr", "val")).agg(F.count("*").alias("n")).drop("__apart")
 
 
 def pair_counts(wide: DataFrame, attrs: list[str] | None = None) -> DataFrame:

@@ -30,6 +30,7 @@ CELLS = _schema(tid=LongType(), attr=StringType(), val=StringType(), is_noisy=Bo
 DOMAINS = _schema(tid=LongType(), attr=StringType(), candidate_val=StringType())
 FEATURES = _schema(tid=LongType(), attr=StringType(), candidate_val=StringType(), feature=StringType())
 VIOLATIONS = _schema(constraint_id=IntegerType(), tids=ArrayType(LongType()))
+VIOLATION_CLASSES = _schema(constraint_id=IntegerType(), key=ArrayType(StringType()), value=ArrayType(StringType()), n=LongType(), n_links=LongType())
 NOISY_CELLS = _schema(tid=LongType(), attr=StringType(), detection_method=StringType())
 EXT_DICT = _schema(dict_id=StringType(), ext_tid=StringType(), ext_attr=StringType(), ext_val=StringType())
 REPAIRS = _schema(tid=LongType(), attr=StringType(), repaired_val=StringType(), confidence=FloatType())
@@ -38,6 +39,6 @@ WEIGHTS = _schema(feature=StringType(), weight=DoubleType())
 TRUTH = _schema(tid=LongType(), attr=StringType(), correct_val=StringType())
 #: Stage tables by name; a run directory holds one Parquet table of each.
 TABLES = {
-    "cells": CELLS, "domains": DOMAINS, "features": FEATURES, "violations": VIOLATIONS, "noisy_cells": NOISY_CELLS,
+    "cells": CELLS, "domains": DOMAINS, "features": FEATURES, "violations": VIOLATIONS, "violation_classes": VIOLATION_CLASSES, "noisy_cells": NOISY_CELLS,
     "ext_dict": EXT_DICT, "repairs": REPAIRS, "marginals": MARGINALS, "weights": WEIGHTS,
 }

@@ -34,7 +34,9 @@ def detect_batches(stream: DataFrame, run: RunDirectory, known: Callable[[], Dat
     known() gives all tuples so far, the batch included, as a wide table. A tuple's cells can only change if it shares a key with the batch
     under some constraint. Those tuples' cells are made anew under every constraint, each over the complete blocks of the tuples: a
     semi-join on its own keys. Detectors in `more` look at the whole table, as their statistics do, and their cells are all replaced. A
-    batch that is delivered twice gives the same table twice.
+    batch that is delivered twice gives the same table twice. A batch reads the keys of all that is known (semi-joins that the batch's keys
+    filter) and rewrites the table of noisy cells: cheap beside detection over everything where blocks are small, not free. A write
+    that fails leaves the table as it was.
     """
 
     def one(batch: DataFrame, _: int) -> None:
