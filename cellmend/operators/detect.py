@@ -116,7 +116,7 @@ def fd_noisy(wide: DataFrame, key: str, target: str, min_support: int = schema.M
     """
     counts = fd_support(wide, key, target)
     well = (F.col("n") >= min_support).cast("int")
-    per_key = counts.groupBy("k").agg(F.sum(well).alias("supported"))
+    per_key = counts.groupBy("k", apart("k")).agg(F.sum(well).alias("supported")).drop("__apart")
     bad = counts.join(per_key, "k").where(F.col("supported") - well >= 1).select("k", "v")
     rows = wide.select("tid", quoted(key).alias("k"), quoted(target).alias("v"))
     return rows.join(bad, ["k", "v"], "left_semi").select("tid", F.lit(target).alias("attr"))

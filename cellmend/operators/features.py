@@ -65,10 +65,10 @@ def dc_violation(domains: DataFrame, wide: DataFrame, c: Constraint) -> DataFram
         for a in keys:
             h = h.where(quoted(f"h_{a}") != schema.PLACEHOLDER)
         present = reduce(and_, [quoted(a) != schema.PLACEHOLDER for a in keys])
-        n = filled.where(present).groupBy(*[quoted(a).alias(f"h_{a}") for a in keys], quoted(target).alias(f"h_{target}")).agg(F.count("*").alias("same"))
-        on = [f"h_{a}" for a in keys]
+        on, whole = [f"h_{a}" for a in keys], [*(f"h_{a}" for a in keys), f"h_{target}"]
+        n = filled.where(present).select(*[quoted(a).alias(f"h_{a}") for a in [*keys, target]])
+        n = n.groupBy(*map(quoted, whole), apart(*whole)).agg(F.count("*").alias("same")).drop("__apart")
         block = n.groupBy(*map(quoted, on), apart(*on)).agg(F.sum("same").alias("all")).drop("__apart")
-        n = n.groupBy(*map(quoted, [*on, f"h_{target}"]), apart(*on, f"h_{target}")).agg(F.sum("same").alias("same")).drop("__apart")
         found = h.join(block, [f"h_{a}" for a in keys]).join(n, [*[f"h_{a}" for a in keys], f"h_{target}"], "left")
         at_home = reduce(and_, [quoted(f"h_{a}") == quoted(f"o_{a}") for a in keys])
         own = F.when(at_home & (quoted(f"o_{target}") != quoted(f"h_{target}")), 1).otherwise(0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend import schema
+from cellmend.functions.layout import apart
 from cellmend.functions.text import normalise_null, or_placeholder, strip, to_number
 from cellmend.operators import cells as cell_ops
-from cellmend.operators import detect, domains, evaluate, features, model, repair, stats
+from cellmend.operators import constraints, detect, domains, evaluate, features, model, repair, stats
 from cellmend.plans import dirty as base
 from cellmend.sources import tables
 
@@ -42,9 +44,9 @@ class View:
     def cells(self) -> DataFrame:
         return cell_ops.to_cells(self.wide, base.ATTRS)
 
-    @property
+    @functools.cached_property
     def noisy(self) -> DataFrame:
-        return detect.DenialConstraintDetector(base.RULES).detect(self.wide)
+        return tables.checkpointed(detect.DenialConstraintDetector(base.RULES).detect(self.wide), "noisy")  # several branches read it
 
     @property
     def flagged(self) -> DataFrame:
@@ -58,11 +60,9 @@ class View:
     def pairs(self) -> DataFrame:
         return stats.pair_counts(self.wide)
 
-    @property
+    @functools.cached_property
     def domains(self) -> DataFrame:
-        if not hasattr(self, "_domains"):
-            self._domains = tables.checkpointed(domains.generate(self.wide, self.noisy), "domains")  # three branches read it
-        return self._domains
+        return tables.checkpointed(domains.generate(self.wide, self.noisy), "domains")  # three branches read it
 
     @property
     def features(self) -> DataFrame:
@@ -70,8 +70,8 @@ class View:
 
     @property
     def marginals(self) -> DataFrame:
-        noisy, feats = tables.checkpointed(self.noisy, "noisy"), tables.checkpointed(self.features, "features")
-        return model.predict(feats, self.domains, fixed_weights(feats), noisy)
+        feats = tables.checkpointed(self.features, "features")
+        return model.predict(feats, self.domains, fixed_weights(feats), self.noisy)
 
     @property
     def best(self) -> DataFrame:
@@ -86,7 +86,7 @@ def fixed_weights(feats: DataFrame) -> DataFrame:
     """Weights by family and name, so that scores can be compared."""
     f = F.col("feature")
     w = F.when(f == schema.PRIOR_FEATURE, -2.0).when(f.startswith("cooc"), 0.05 * (F.length(f) % 7)).when(f.startswith("LOGFREQ"), 0.1 * F.right(f, F.lit(1)).cast("int")).otherwise(-0.7)
-    return feats.select("feature").distinct().select("feature", w.cast("double").alias("weight"))
+    return feats.groupBy("feature", apart("feature")).agg(w.cast("double").alias("weight")).select("feature", "weight")
 
 
 def r6(name: str) -> Column:
@@ -134,8 +134,8 @@ def strip_and_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as CSV in order of tid and read again; tid comes from the file's order, and the limit is the reader's own."""
     path = f"{tables.shared_dir(spark)}/csv-{uuid.uuid4().hex}"
-    base.raw(spark, sf_dir).orderBy("tid").select("nation", "region", "segment").coalesce(1).write.csv(path, header=True)
-    return tables.read_csv(spark, path, limit=500)
+    base.raw(spark, sf_dir).repartitionByRange(4, "tid").sortWithinPartitions("tid").select("nation", "region", "segment").write.csv(path, header=True)
+    return tables.read_csv(spark, path, limit=500, multi_line=False)
 
 
 @query("SELECT tid, nation, region, segment FROM dirty")
@@ -146,6 +146,25 @@ def csv_source_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_csv(spark, path)
 
 
+@query("SELECT * FROM (VALUES (2, 'EQ', 'nation', 'nation', true, true), (2, 'IQ', 'region', 'region', true, true), (4, 'EQ', 'a', 'b', false, false), (4, 'EQ', 'c', 'c', false, false), (4, 'IQ', 'd', 'd', false, false)) AS t(id, op, left_attr, right_attr, is_symmetric, is_fd)")
+def constraint_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints read from a file that Spark wrote; ids are line numbers, comments and blank lines count."""
+    path = f"{tables.shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    text = "# rules\nt1&t2&EQ(t1.nation,t2.nation)&IQ(t1.region,t2.region)\n\nt1&t2&EQ(t1.a,t2.b)&EQ(t1.c,t2.c)&IQ(t1.d,t2.d)"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    rows = [(c.id, p.op, p.left, p.right, c.symmetric, c.fd is not None) for c in constraints.read(spark, path) for p in c.predicates]
+    return spark.createDataFrame(rows, "id int, op string, left_attr string, right_attr string, is_symmetric boolean, is_fd boolean")
+
+
+@query("SELECT tid, attr, CASE WHEN tid % 10 = 0 THEN '__NULL__' ELSE correct_val END AS correct_val FROM truth")
+def truth_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole truth as a CSV with ids from 0, some values empty, read again."""
+    path = f"{tables.shared_dir(spark)}/truth-{uuid.uuid4().hex}"
+    t = cell_ops.to_cells(base.clean(spark, sf_dir), base.ATTRS)
+    t.select((F.col("tid") - 1).alias("tid"), F.col("attr").alias("attribute"), F.when(F.col("tid") % 10 != 0, F.col("val")).alias("correct_val")).write.csv(path, header=True)
+    return tables.read_truth(spark, path)
+
+
 @query("SELECT 'cells' AS name, count(*) AS n_rows FROM cells UNION ALL SELECT 'noisy_cells', count(*) FROM noisy UNION ALL SELECT 'repairs', 0 UNION ALL SELECT 'ext_dict', 0")
 def run_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)
@@ -157,6 +176,24 @@ def run_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [run.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows")) for t in ("cells", "noisy_cells", "repairs", "ext_dict")])
 
 
+@query("""SELECT 'domains' AS name, count(*) AS n_rows, count(DISTINCT tid) AS n_keys FROM dom UNION ALL SELECT 'features', count(*), count(DISTINCT tid) FROM feats UNION ALL SELECT 'marginals', count(*), count(DISTINCT tid) FROM marg
+    UNION ALL SELECT 'weights', count(*), count(DISTINCT feature) FROM weights UNION ALL SELECT 'settings', 3, 1 UNION ALL SELECT 'violation_classes', count(*), 1 FROM vclass""")
+def run_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage tables written to a run, replaced by themselves and read again, and the settings beside them."""
+    v = View(spark, sf_dir)
+    run = tables.RunDirectory(spark, f"{tables.shared_dir(spark)}/run-{uuid.uuid4().hex}")
+    feats = run.write("features", v.features)
+    weights = run.write("weights", fixed_weights(feats))
+    run.write("domains", v.domains)
+    run.write("domains", run.read("domains"))  # the old version is read while the new one is written
+    run.write("marginals", model.predict(feats, v.domains, weights, v.noisy))
+    run.write("violation_classes", detect.violation_classes(v.wide, FD))
+    run.write_settings({"attributes": base.ATTRS})
+    count = lambda t, key: run.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"))
+    settings = spark.createDataFrame([("settings", len(run.read_settings()["attributes"]), 1)], "name string, n_rows long, n_keys long")
+    return reduce(DataFrame.unionByName, [count("domains", "tid"), count("features", "tid"), count("marginals", "tid"), count("weights", "feature"), count("violation_classes", "constraint_id")], settings)
+
+
 @query("SELECT tid, row_number() OVER (ORDER BY tid) AS n FROM dirty")
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.dense_number(View(spark, sf_dir).wide.select("tid"), ["tid"], "n0").select("tid", (F.col("n0") + 1).alias("n"))
@@ -187,10 +224,52 @@ def dc_nonfd_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 1 AS constraint_id, CAST((sum(a * a) - sum(s)) / 2 AS BIGINT) AS n_pairs FROM (SELECT p_name, sum(n) AS a, sum(n * n) AS s FROM (SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_name)")
 def dc_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cellmend.operators.constraints import parse
-
     part = base.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tid"), "p_name", "p_brand")
-    return detect.violation_counts(part, parse("t1&t2&EQ(t1.p_name,t2.p_name)&IQ(t1.p_brand,t2.p_brand)")[0])
+    return detect.violation_counts(part, constraints.parse("t1&t2&EQ(t1.p_name,t2.p_name)&IQ(t1.p_brand,t2.p_brand)")[0])
+
+
+@query("SELECT 1 AS constraint_id, nation, region, n, n_links FROM vclass")
+def dc_fd_violation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What dc_fd_violations_pairs says, in a row for each value of a key."""
+    c = detect.violation_classes(View(spark, sf_dir).wide, FD)
+    return c.select("constraint_id", F.col("key")[0].alias("nation"), F.col("value")[0].alias("region"), "n", "n_links")
+
+
+@query("""WITH g AS (SELECT nation, region, segment, count(*) AS n FROM dirty WHERE nation IS NOT NULL AND region IS NOT NULL AND segment IS NOT NULL GROUP BY ALL)
+    SELECT 3 AS constraint_id, a.nation, a.region, a.segment, any_value(a.n) AS n, CAST(sum(b.n) AS BIGINT) AS n_links FROM g AS a JOIN g AS b ON a.nation = b.nation AND a.region <> b.region AND a.segment <> b.segment GROUP BY ALL""")
+def dc_general_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two unequal attributes."""
+    c = detect.violation_classes(View(spark, sf_dir).wide, base.TWO_UNEQUAL)
+    return c.select("constraint_id", F.col("key")[0].alias("nation"), F.col("value")[0].alias("region"), F.col("value")[1].alias("segment"), "n", "n_links")
+
+
+@query("""SELECT tid, unnest(['nation', 'region', 'segment']) AS attr FROM dirty AS d
+    WHERE EXISTS (SELECT 1 FROM dirty AS e WHERE e.nation = d.nation AND e.segment <> d.segment AND e.region <> d.region)""")
+def dc_general_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.general_noisy(View(spark, sf_dir).wide, base.TWO_UNEQUAL)
+
+
+_CROSSED = "SELECT s_suppkey AS tid, s_nationkey AS own, s_suppkey % 31 AS other, s_suppkey % 3 AS label FROM supplier"
+
+
+@query(f"WITH x AS ({_CROSSED}) SELECT 4 AS constraint_id, a.tid AS tid1, b.tid AS tid2 FROM x AS a JOIN x AS b ON a.own = b.other AND a.label <> b.label AND a.tid < b.tid")
+def dc_crossed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint between different attributes, the first tuple being the one with the smaller id."""
+    return detect.violations(base.crossed(spark, sf_dir), base.CROSSED)
+
+
+@query(f"WITH x AS ({_CROSSED}), p AS (SELECT a.tid AS t, b.tid AS u FROM x AS a JOIN x AS b ON a.own = b.other AND a.label <> b.label AND a.tid < b.tid) SELECT DISTINCT tid, unnest(['label', 'other', 'own']) AS attr FROM (SELECT t AS tid FROM p UNION SELECT u FROM p)")
+def dc_crossed_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.general_noisy(base.crossed(spark, sf_dir), base.CROSSED)
+
+
+@query("""WITH p AS (SELECT count(*) AS a, count(*) FILTER (x.n < 2 AND y.n < 2) AS b FROM dirty AS l JOIN dirty AS r ON l.nation = r.nation AND l.region <> r.region AND l.tid < r.tid
+    JOIN sup AS x ON x.k = l.nation AND x.v = l.region JOIN sup AS y ON y.k = r.nation AND y.v = r.region),
+    q AS (SELECT count(*) AS a FROM dirty AS l JOIN dirty AS r ON l.nation = r.nation AND l.segment = r.segment AND l.region <> r.region AND l.tid < r.tid)
+    SELECT 1 AS constraint_id, a AS n_potential, b AS n_ignored, a - b AS n_stored FROM p UNION ALL SELECT 2, a, 0, a FROM q""")
+def dc_violation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = View(spark, sf_dir).wide
+    return reduce(DataFrame.unionByName, [detect.violation_summary(wide, c) for c in base.RULES])
 
 
 @query("SELECT 2 AS constraint_id, a.tid AS tid1, b.tid AS tid2, 2 AS n FROM dirty AS a JOIN dirty AS b ON a.nation = b.nation AND a.segment = b.segment AND a.region <> b.region AND a.tid < b.tid")
@@ -333,6 +412,21 @@ def feat_dc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [features.dc_violation(v.domains, v.wide, c) for c in base.RULES])
 
 
+@query("""SELECT tid, attr, candidate_val, 'DC_VIOLATES_3_ON_' || attr AS feature FROM hyp
+    WHERE nation <> '__NULL__' AND EXISTS (SELECT 1 FROM filled AS e WHERE e.tid <> hyp.tid AND e.nation = hyp.nation AND e.region <> hyp.region AND e.segment <> hyp.segment)""")
+def feat_dc_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = View(spark, sf_dir)
+    return features.dc_violation(v.domains, v.wide, base.TWO_UNEQUAL)
+
+
+@query("""SELECT 1 AS constraint_id, count(*) FILTER (attr IN ('nation', 'region')) AS n_candidates, count(*) FILTER (attr IN ('nation', 'region') AND nation = '__NULL__') AS n_skipped,
+        (SELECT count(*) FROM f_dc WHERE feature LIKE 'DC_VIOLATES_1%') AS n_found FROM hyp
+    UNION ALL SELECT 2, count(*), count(*) FILTER (nation = '__NULL__' OR segment = '__NULL__'), (SELECT count(*) FROM f_dc WHERE feature LIKE 'DC_VIOLATES_2%') FROM hyp""")
+def dc_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = View(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [features.dc_counts(v.domains, v.wide, c) for c in base.RULES])
+
+
 @query("""SELECT CASE WHEN feature = 'prior_minimality' THEN 'prior' WHEN feature LIKE 'DC%' THEN 'dc' WHEN feature LIKE 'cooc%' THEN 'cooc' ELSE 'logfreq' END AS family,
     count(*) AS n_rows, count(DISTINCT feature) AS n_names FROM feats GROUP BY ALL""")
 def feature_union_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,6 +456,21 @@ def encode_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.encode_features(View(spark, sf_dir).features)
 
 
+@query("SELECT var_idx, CAST(domain_idx AS INTEGER) AS domain_idx, feature_idx FROM feats JOIN ident USING (tid, attr, candidate_val) JOIN (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS feature_idx FROM (SELECT DISTINCT feature FROM feats)) USING (feature)")
+def design_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = View(spark, sf_dir)
+    return model.encode_states(tables.checkpointed(v.features, "features"), v.domains, v.flagged)
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (attr = 'segment') AS n_unknown_cells, count(*) FILTER (attr <> 'segment' AND candidate_val = 'XX') AS n_unknown_candidates,
+    count(*) FILTER (attr <> 'segment' AND candidate_val <> 'XX' AND feature = 'prior_minimality') AS n_unknown_features FROM feats""")
+def encoding_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the cells of one attribute, one candidate and one feature unknown."""
+    v = View(spark, sf_dir)
+    feats = tables.checkpointed(v.features, "features")
+    return model.encoding_skips(feats, v.domains.where("candidate_val <> 'XX'"), v.cells.where("attr <> 'segment'"), feats.where(F.col("feature") != schema.PRIOR_FEATURE))
+
+
 @query("SELECT c.tid, c.attr, CAST(coalesce(x.i, -1) AS INTEGER) AS y FROM cells AS c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY tid, attr ORDER BY candidate_val) - 1 AS i FROM dom) AS x ON x.tid = c.tid AND x.attr = c.attr AND x.candidate_val = c.val")
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)
@@ -377,8 +486,8 @@ def evidence_query_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT tid, attr, candidate_val, round(score, 6) AS score FROM scored")
 def score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)
-    noisy, feats = tables.checkpointed(v.noisy, "noisy"), tables.checkpointed(v.features, "features")
-    mine = noisy.select("tid", "attr")
+    feats = tables.checkpointed(v.features, "features")
+    mine = v.noisy.select("tid", "attr")
     return model.scores(feats.join(mine, ["tid", "attr"], "left_semi"), v.domains.join(mine, ["tid", "attr"], "left_semi"), fixed_weights(feats)).select("tid", "attr", "candidate_val", r6("score"))
 
 
@@ -422,12 +531,76 @@ def gradient_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.gradient(rows, zero).select("feature", (F.round("gradient", 6) + 0.0).alias("gradient"))
 
 
+def _residual(weights: str) -> str:
+    """SQL: probability less observation of each training state."""
+    return f"""SELECT tid, attr, candidate_val, e / sum(e) OVER (PARTITION BY tid, attr) - y AS residual FROM (
+        SELECT *, exp(s - max(s) OVER (PARTITION BY tid, attr)) AS e FROM (
+            SELECT t.tid, t.attr, t.candidate_val, any_value(y) AS y, coalesce(sum(weight), 0) AS s FROM tstates AS t
+            LEFT JOIN feats USING (tid, attr, candidate_val) LEFT JOIN {weights} USING (feature) GROUP BY t.tid, t.attr, t.candidate_val))"""
+
+
+def _gradient(residual: str) -> str:
+    return f"SELECT feature, sum(residual) AS g FROM feats JOIN {residual} USING (tid, attr, candidate_val) GROUP BY feature"
+
+
+@query(f"WITH r0 AS ({_residual('weights')}), g0 AS ({_gradient('r0')}) SELECT feature, round(g, 6) + 0.0 AS gradient FROM g0")
+def gradient_at_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-batch gradient at weights that are not zero, so the softmax inside it counts."""
+    v = View(spark, sf_dir)
+    rows = tables.checkpointed(model.training_rows(v.features, v.domains, v.flagged), "training")
+    return model.gradient(rows, fixed_weights(rows.where("feature is not null"))).select("feature", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
+#: Of descent_two_steps.
+_RATE, _DECAY = 0.37, 0.013
+
+
+@query(f"""WITH r0 AS ({_residual('weights')}), n AS (SELECT count(*) AS n FROM tcells),
+    w0 AS (SELECT feature, weight, g / n + {_DECAY} * weight AS m FROM ({_gradient('r0')}) JOIN weights USING (feature), n),
+    w1 AS (SELECT feature, CASE WHEN feature = 'prior_minimality' THEN -2.0 ELSE weight - {_RATE} * m END AS weight, m FROM w0), r1 AS ({_residual('w1')}),
+    w2 AS (SELECT feature, CASE WHEN feature = 'prior_minimality' THEN -2.0 ELSE weight - {_RATE} * (0.9 * m + g / n + {_DECAY} * weight) END AS weight FROM ({_gradient('r1')}) JOIN w1 USING (feature), n)
+    SELECT feature, round(weight, 6) + 0.0 AS weight FROM w2""")
+def descent_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training itself, from stated weights: two epochs of one batch, by gradient descent with momentum and decay."""
+    v = View(spark, sf_dir)
+    feats, cells = tables.checkpointed(v.features, "features"), tables.checkpointed(v.flagged, "cells")
+    t = model.Training(epochs=2, learning_rate=_RATE, weight_decay=_DECAY, optimizer="sgd", batch_size=1 << 40)
+    return model.fit(feats, v.domains, cells, t, start=fixed_weights(feats)).select("feature", (F.round("weight", 6) + 0.0).alias("weight"))
+
+
+@query("SELECT count(*) AS n_features, round(1 / sqrt(count(*)), 9) AS bound, true AS all_within, true AS spread FROM (SELECT DISTINCT feature FROM feats JOIN tstates USING (tid, attr, candidate_val))")
+def initial_weight_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights start within one over the root of their number, all but the prior's."""
+    v = View(spark, sf_dir)
+    w = model.initial_weights(tables.checkpointed(model.training_rows(v.features, v.domains, v.flagged), "training"))
+    free, size = F.when(F.col("feature") != schema.PRIOR_FEATURE, F.abs("weight")), F.lit(1.0) / F.sqrt(F.count("*"))
+    return w.agg(F.count("*").alias("n_features"), F.round(size, 9).alias("bound"), (F.max(free) <= size).alias("all_within"), (F.max(free) > 0.5 * size).alias("spread"))
+
+
+@query("""SELECT count(*) AS n, round(avg(CASE WHEN candidate_val = val THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM tcells JOIN (
+    SELECT tid, attr, candidate_val FROM (SELECT t.tid, t.attr, t.candidate_val, coalesce(sum(weight), 0) AS s FROM tstates AS t LEFT JOIN feats USING (tid, attr, candidate_val) LEFT JOIN weights USING (feature)
+    GROUP BY t.tid, t.attr, t.candidate_val) QUALIFY row_number() OVER (PARTITION BY tid, attr ORDER BY round(s, 9) DESC, candidate_val) = 1) USING (tid, attr)""")
+def training_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = View(spark, sf_dir)
+    feats = tables.checkpointed(v.features, "features")
+    weights = fixed_weights(feats)
+    return model.accuracy(feats, v.domains, tables.checkpointed(v.flagged, "cells"), weights).select("n", r6("accuracy"))
+
+
+@query("""WITH k AS (SELECT tid, attr, val FROM tcells ORDER BY tid, attr LIMIT 1 OFFSET 100), o AS (SELECT tid, attr, val, min(candidate_val) FILTER (candidate_val <> val) AS other FROM k LEFT JOIN dom USING (tid, attr) GROUP BY ALL),
+    f AS (SELECT o.*, feature, bool_or(candidate_val = val) AS t, coalesce(bool_or(candidate_val = other), false) AS u FROM feats JOIN o USING (tid, attr) GROUP BY ALL)
+    SELECT tid, attr, val AS target_val, other AS other_val, CASE WHEN t THEN 'target' ELSE 'other' END AS side, feature FROM f WHERE t <> u""")
+def inspect_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training cell 100, which any table of the tests has."""
+    v = View(spark, sf_dir)
+    return model.inspect_sample(v.features, v.domains, v.flagged, 100)
+
+
 @query()
 def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = View(spark, sf_dir)
-    feats, noisy = tables.checkpointed(v.features, "features"), tables.checkpointed(v.noisy, "noisy")
-    cells = tables.checkpointed(cell_ops.mark_noisy(v.cells, noisy), "cells")
-    return model.predict(feats, v.domains, model.fit(feats, v.domains, cells, model.Training()), noisy)
+    feats, cells = tables.checkpointed(v.features, "features"), tables.checkpointed(v.flagged, "cells")
+    return model.predict(feats, v.domains, model.fit(feats, v.domains, cells, model.Training()), v.noisy)
 
 
 # Evaluation and reports

@@ -9,6 +9,9 @@ from cellmend.operators import constraints
 from cellmend.sources.tables import normalise
 
 ATTRS = ["nation", "region", "segment"]
+#: Forms that counts per block do not decide: two unequal attributes, and attributes that differ.
+TWO_UNEQUAL = constraints.parse("\n\nt1&t2&EQ(t1.nation,t2.nation)&IQ(t1.region,t2.region)&IQ(t1.segment,t2.segment)")[0]
+CROSSED = constraints.parse("\n\n\nt1&t2&EQ(t1.own,t2.other)&IQ(t1.label,t2.label)")[0]
 RULES = constraints.parse("t1&t2&EQ(t1.nation,t2.nation)&IQ(t1.region,t2.region)\nt1&t2&EQ(t1.nation,t2.nation)&EQ(t1.segment,t2.segment)&IQ(t1.region,t2.region)")
 
 
@@ -34,6 +37,12 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(raw(spark, sf_dir))
 
 
+def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with two numbers of one range, for a constraint between different attributes."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("tid"), F.col("s_nationkey").cast("string").alias("own"), (k % 31).cast("string").alias("other"), (k % 3).cast("string").alias("label"))
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(spark, sf_dir).select((F.col("c_custkey") + 1).alias("tid"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment"))
 
@@ -48,6 +57,7 @@ CTES: dict[str, str] = {
     "truth": """SELECT tid, attr, val AS correct_val FROM (SELECT c_custkey + 1 AS tid, n_name AS nation, r_name AS region, c_mktsegment AS segment
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) UNPIVOT (val FOR attr IN (nation, region, segment))""",
     "sup": "SELECT nation AS k, region AS v, count(*) AS n FROM dirty WHERE nation IS NOT NULL AND region IS NOT NULL GROUP BY nation, region",
+    "vclass": """SELECT * FROM (SELECT k AS nation, v AS region, n, CAST(CASE WHEN n >= 2 THEN sum(n) OVER w - n ELSE coalesce(sum(n) FILTER (n >= 2) OVER w, 0) END AS BIGINT) AS n_links FROM sup WINDOW w AS (PARTITION BY k)) WHERE n_links > 0""",
     "noisy_fd": "SELECT tid, 'region' AS attr FROM dirty WHERE EXISTS (SELECT 1 FROM sup WHERE k = nation AND v <> region AND n >= 2)",
     "noisy_gen": """SELECT tid, unnest(['nation', 'region', 'segment']) AS attr FROM dirty AS d
         WHERE EXISTS (SELECT 1 FROM dirty AS e WHERE e.nation = d.nation AND e.segment = d.segment AND e.region <> d.region)""",
@@ -92,6 +102,11 @@ CTES: dict[str, str] = {
         ON x.tid = dom.tid AND x.attr = dom.attr AND x.candidate_val = dom.candidate_val""",
     "marg": """SELECT tid, attr, candidate_val, e / sum(e) OVER (PARTITION BY tid, attr) AS prob
         FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY tid, attr)) AS e FROM scored)""",
+    "tcells": """SELECT c.tid, c.attr, c.val FROM cells AS c JOIN dom AS d ON d.tid = c.tid AND d.attr = c.attr AND d.candidate_val = c.val
+        WHERE (c.tid, c.attr) NOT IN (SELECT (tid, attr) FROM noisy)""",
+    "tstates": "SELECT tid, attr, candidate_val, CASE WHEN candidate_val = val THEN 1 ELSE 0 END AS y FROM dom JOIN tcells USING (tid, attr)",
+    "ident": """SELECT dom.tid, dom.attr, candidate_val, v.i AS var_idx, row_number() OVER (PARTITION BY dom.tid, dom.attr ORDER BY candidate_val) - 1 AS domain_idx
+        FROM dom JOIN (SELECT tid, attr, row_number() OVER (ORDER BY tid, attr) - 1 AS i FROM cells) AS v ON v.tid = dom.tid AND v.attr = dom.attr""",
     "best": "SELECT tid, attr, candidate_val AS predicted_val, prob FROM marg QUALIFY row_number() OVER (PARTITION BY tid, attr ORDER BY round(prob, 9) DESC, candidate_val) = 1",
     "judged": """SELECT c.tid, c.attr, coalesce(c.val, '__NULL__') AS original, correct_val AS truth, predicted_val AS predicted, q.tid IS NOT NULL AS is_noisy,
         coalesce(coalesce(c.val, '__NULL__') <> correct_val, false) AS is_error
@@ -103,7 +118,7 @@ CTES: dict[str, str] = {
 
 
 def sql(body: str) -> str:
-    """body after the expressions that it may need."""
+    """body, which may begin with expressions of its own, after those that it may need."""
     import re
 
     need: set[str] = set()
@@ -114,4 +129,7 @@ def sql(body: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(CTES[name])
-    return ("WITH " + ",\n".join(f"{k} AS ({v})" for k, v in CTES.items() if k in need) + "\n" if need else "") + body
+    if not need:
+        return body
+    before = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in CTES.items() if k in need)
+    return f"{before},\n{body[5:]}" if body.startswith("WITH ") else f"{before}\n{body}"

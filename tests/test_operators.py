@@ -106,6 +106,140 @@ def test_detection_equals_literal(spark, seed):
         assert detect.violation_counts(w, c).first().n_pairs == before
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_violation_classes_equal_literal(spark, seed):
+    """Classes give every tuple as many links as it has violating pairs, and all pairs can be made of them."""
+    rng = random.Random(50 + seed)
+    rows = [{n: rng.choice(["x", "y", "z", None]) for n in "abc"} for _ in range(25)]
+    w = wide(spark, [tuple(r[n] for n in "abc") for r in rows], "abc")
+    for c in constraints.parse(RULES + "\nt1&t2&EQ(t1.a,t2.a)&EQ(t1.b,t2.b)"):
+        if not c.symmetric:
+            with pytest.raises(ValueError):
+                detect.violation_classes(w, c)
+            continue
+        found, _ = literal(rows, c) if c.equal else (set(), set())
+        links = [sum(k + 1 in p for p in found) for k in range(len(rows))]
+        keys, targets = sorted({p.left for p in c.equal}), sorted({p.left for p in c.unequal})
+        want = {}
+        for r, n in zip(rows, links, strict=True):
+            if n:
+                group = (tuple(r[k] for k in keys), tuple(r[t] for t in targets))
+                assert want.get(group, (0, n))[1] == n
+                want[group] = (want.get(group, (0, n))[0] + 1, n)
+        got = {(tuple(r.key), tuple(r.value)): (r.n, r.n_links) for r in detect.violation_classes(w, c).collect()}
+        assert got == want
+        s = detect.violation_summary(w, c).first()
+        assert s.n_stored == len(found) and s.n_potential == detect.pair_violations(w, c).count() == s.n_ignored + s.n_stored
+    d = detect.DenialConstraintDetector(constraints.parse(RULES))
+    assert d.find_violations(w, all_pairs=False).select("constraint_id").distinct().count() <= 1 and d.find_classes(w).count() > 0
+    assert detect.violation_classes(w.limit(0), d.constraints[0]).count() == 0
+
+
+def test_hot_keys_can_be_split(spark):
+    """Where rows meet an aggregate on their key, each side is read through an exchange of its own: no aggregate stands between."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        w = tables.checkpointed(wide(spark, [("k", f"v{i}", "c") for i in range(20)], "abc"), "w")
+        cells = tables.checkpointed(to_cells(w), "cells")
+        dom = tables.checkpointed(cells.where("val is not null").select("tid", "attr", F.col("val").alias("candidate_val")), "dom")
+        fd, block = constraints.parse("t1&t2&EQ(t1.a,t2.a)&IQ(t1.b,t2.b)\nt1&t2&EQ(t1.a,t2.a)&EQ(t1.c,t2.c)&IQ(t1.b,t2.b)")
+        plans = [features.log_frequency(dom, cells), features.dc_violation(dom, w, fd), detect.violations(w, fd), detect.general_noisy(w, block), detect.violation_classes(w, fd), detect.fd_noisy(w, "a", "b"),
+                 catalog.fixed_weights(features.cooccurrence(dom, cells)).join(features.cooccurrence(dom, cells), "feature")]
+        for df in plans:
+            plan = df._jdf.queryExecution().executedPlan()
+
+            def check(node):
+                kids = [node.children().apply(i) for i in range(node.children().size())]
+                if node.nodeName() == "SortMergeJoin" and "tid" not in node.leftKeys().toString():
+                    for side in kids:
+                        while side.nodeName() not in ("Exchange", "ReusedExchange"):
+                            assert "Aggregate" not in side.nodeName(), plan.toString()
+                            side = side.children().apply(0)
+                for k in kids:
+                    check(k)
+
+            check(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_name_counts_once(spark):
+    w = wide(spark, [("v", "d", "c=d")], ["a", "`b=c`", "b"])
+    dom = spark.createDataFrame([(1, "a", "v")], schema.DOMAINS)
+    assert [r.feature for r in features.cooccurrence(dom, to_cells(w)).collect()] == ["cooc_a=v_b=c=d"]
+
+
+def test_history_and_unusable_batches(spark):
+    """Losses fall, accuracy is that of the weights; a batch whose loss is no number makes no step."""
+    w = wide(spark, [(f"k{i % 4}", f"v{i % 4}", "ab"[i % 2]) for i in range(40)], ["k", "v", "o"])
+    flagged = mark_noisy(to_cells(w), spark.createDataFrame([], schema.NOISY_CELLS))
+    dom = tables.checkpointed(domains.generate(w, spark.createDataFrame([], schema.NOISY_CELLS)), "d")
+    feats = tables.checkpointed(features.compile_all(w, dom, []), "f")
+    for limit in (10**6, 0):
+        seen = []
+        weights = model.fit(feats, dom, flagged, model.Training(epochs=4, learning_rate=0.1, batch_size=16, local_rows=limit), history=seen)
+        assert [e.epoch for e in seen] == [0, 1, 2, 3] and seen[-1].loss < seen[0].loss and all(e.n_skipped == 0 for e in seen)
+        assert seen[-1].accuracy == pytest.approx(model.accuracy(feats, dom, flagged, weights).first().accuracy)
+    bad = feats.select("feature").distinct().withColumn("weight", F.lit(float("nan")))
+    seen = []
+    model.fit(feats, dom, flagged, model.Training(epochs=1, batch_size=16), start=bad, history=seen)
+    assert seen[0].n_skipped > 0 and seen[0].loss == 0.0
+    one = feats.where(F.col("feature") == schema.PRIOR_FEATURE)
+    assert model.inspect_sample(one, dom, flagged, 0).first().side == "target" and model.inspect_sample(feats, dom, flagged, 10**6).count() == 0
+
+
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:cells;create=true"
+    cells = to_cells(wide(spark, [("p", None), ("it's", "q")], ["x", "y"]))
+    tables.write_jdbc(cells, url, "cells", driver="org.apache.derby.jdbc.EmbeddedDriver", numPartitions="2")
+    tables.write_jdbc(cells.where("tid = 1"), url, "cells", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = tables.read_jdbc(spark, url, "cells", driver="org.apache.derby.jdbc.EmbeddedDriver", partitionColumn="TID", lowerBound="1", upperBound="3", numPartitions="2")
+    assert back.rdd.getNumPartitions() == 2
+    assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(str(tuple(r)) for r in [*cells.collect(), *cells.where("tid = 1").collect()])
+
+
+def test_run_tables_survive_a_failed_write(spark, tmp_path):
+    run = tables.RunDirectory(spark, str(tmp_path / "run"))
+    assert run.read("cells").count() == 0
+    cells = to_cells(wide(spark, [("p",), ("q",)], ["x"]))
+    run.write("cells", cells)
+    with pytest.raises(Exception):  # noqa: B017  any error of Spark's
+        run.write("cells", cells.withColumn("val", F.raise_error(F.lit("no"))))
+    assert run.read("cells").count() == 2
+    run.write("cells", run.read("cells").where("tid = 1"))
+    assert run.read("cells").count() == 1 and len([x for x in (tmp_path / "run" / "cells").iterdir() if x.is_dir()]) == 2  # the failed one is left
+    run.reset()
+    assert run.read("cells").count() == 0
+
+
+def test_scope_deletes_what_it_kept(spark, tmp_path):
+    with tables.scope(spark):
+        inner = tables.checkpointed(spark.range(3), "scoped")
+        folder = {f.removeprefix("file:").rsplit("/", 1)[0] for f in inner.inputFiles()}.pop()
+        assert inner.count() == 3
+    import os
+
+    assert not os.path.exists(folder)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cellmend.plans import pipeline
+
+    (tmp_path / "t.csv").write_text("zip,city\n" + "".join(f"{10000 + i % 3},city {i % 3}\n" for i in range(20)) + "10000,town\n")
+    (tmp_path / "rules.txt").write_text("t1&t2&EQ(t1.zip,t2.zip)&IQ(t1.city,t2.city)")
+    (tmp_path / "truth.csv").write_text("tid,attribute,correct_val\n20,city,city 0\n")
+    common = ["--run", str(tmp_path / "run"), "--constraints", str(tmp_path / "rules.txt"), "--outliers", "zip"]
+    pipeline.main(["all", *common, "--file", str(tmp_path / "t.csv"), "--truth", str(tmp_path / "truth.csv"), "--epochs", "12", "--lr", "0.1", "--pairs"])
+    out = capsys.readouterr().out
+    assert "epoch 12: loss" in out and "f1_noisy" in out and "town" in out and "noisy_errors" in out
+    pipeline.main(["inspect", *common, "--index", "2"])
+    assert "side" in capsys.readouterr().out
+    run = tables.RunDirectory(spark, str(tmp_path / "run"))
+    assert run.read("violations").count() == 7 and run.read("violation_classes").count() == 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_dc_features_equal_literal(spark, seed):
     rng = random.Random(100 + seed)
