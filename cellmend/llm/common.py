@@ -6,8 +6,8 @@ import atexit
 import io
 import os
 import re
+import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -15,11 +15,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  binds pa.compute
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmend.functions.layout import apart  # noqa: F401  for the other modules
+from cellmend.sources.tables import checkpointed as save
+from cellmend.sources.tables import drop_checkpoint as drop_saved
+
 _SHIPPED: set[str] = set()
-_WRITTEN: list[tuple[SparkSession, str]] = []
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
@@ -39,7 +43,9 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="cellmend-"), "cellmend.zip")
+    folder = tempfile.mkdtemp(prefix="cellmend-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "cellmend.zip")
     with open(path, "wb") as f:
         f.write(blob.getvalue())
     sc.addPyFile(path)
@@ -49,44 +55,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or os.path.join(tempfile.gettempdir(), "cellmend-checkpoints")).rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a frame made by save() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(x) for x in df.inputFiles()}:
-        _remove(spark, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone: then its folder is the cluster's to clear
-            return
-
-
 def column(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -98,6 +66,28 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
 
 
+#: Names of a row's key.
+ROW_KEY = ["__file", "__row"]
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """df with ROW_KEY, which tells any two of its rows apart and is the same whenever they are read again: the file that a row is from
+    (as a hash) and its place there. What does not come from files is written first."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        keyed = df.select("*", F.xxhash64(meta["file_path"]).alias(ROW_KEY[0]), meta["row_index"].alias(ROW_KEY[1]))
+    except AnalysisException:
+        return with_row_key(save(df, "rows"))
+    return keyed
+
+
+def texts_with(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, str]:
+    """texts() with columns to carry after them, and the types of these for a schema."""
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), *map(column, carry))
+    kinds = dict(docs.dtypes)
+    return docs, "".join(f", `{c}` {kinds[c]}" for c in carry)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,12 +140,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def apart(key: str) -> Column:
-    """A second grouping key that follows from the first. A later join on the first alone then reads
-    the aggregate through an exchange of its own, and AQE can split the other side's hot keys."""
-    return F.hash(key).alias("apart")
-
-
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learnt from: crc32 of the id's decimal text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

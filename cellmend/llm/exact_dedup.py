@@ -8,7 +8,8 @@ its size, and only these lists are grouped and joined.
 
 Defined results: null text counts as empty (an empty list); a null id is a row like any other, is never
 preferred to a number, and its group keeps null only if it has no number; rows that repeat an id and text are all
-kept (they are the same document); an empty table gives an empty result; other columns are ignored.
+kept (they are the same document) unless one row of each group is asked for; an id that is no integer is an error; an empty table
+gives an empty result; other columns are ignored, or carried where asked for.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def _recipes(seed: int, name: Callable[[bytes, int], bytes]) -> Callable:
                         ids.append(name(data[at:end], seed))
                         at = end
                     recipes.append(b"".join(ids))
-                yield pa.record_batch([batch.column(0), pa.array(recipes, pa.binary()), pa.array(shas, pa.binary())], ["doc_id", "recipe", "sha"])
+                cols = [batch.column(0), pa.array(recipes, pa.binary()), pa.array(shas, pa.binary()), *batch.columns[2:]]
+                yield pa.record_batch(cols, ["doc_id", "recipe", "sha", *batch.schema.names[2:]])
 
     return run
 
@@ -118,15 +120,23 @@ def verified_seed(docs: DataFrame, name: Callable[[bytes, int], bytes] = address
         seed += 1
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: Callable[[bytes, int], bytes] = address) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: Callable[[bytes, int], bytes] = address, one_by: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Texts are equal when identical after
-    lower-casing A-Z; of equal texts the largest id stays."""
+    lower-casing A-Z; of equal texts the largest id stays. one_by names columns that tell rows apart: they are carried, and of rows
+    that share text and id the greatest by them is kept alone, null ids included."""
     common.ship(df.sparkSession)
-    docs = common.texts(df, id_col, text_col)
-    seed = verified_seed(docs, name)
-    recipes = common.save(docs.mapInArrow(_recipes(seed, name), "doc_id long, recipe binary, sha binary"), "recipes")
+    by = one_by or []
+    docs, kinds = common.texts_with(df, id_col, text_col, by)
+    seed = verified_seed(docs.select("doc_id", "text"), name)
+    recipes = common.save(docs.mapInArrow(_recipes(seed, name), "doc_id long, recipe binary, sha binary" + kinds), "recipes")
     # sha follows from the recipe; as a second key it leaves the join below an exchange that AQE can split.
-    groups = recipes.groupBy("recipe", "sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.select("doc_id", "recipe").join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    size, least_null = F.count("*").alias("group_size"), F.struct("doc_id", *map(common.column, by))  # null is least in a struct
+    if not by:
+        groups = recipes.groupBy("recipe", "sha").agg(F.max("doc_id").alias("keep_id"), size)
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    else:
+        groups = recipes.groupBy("recipe", "sha").agg(F.max(least_null).alias("best"), size).withColumn("keep_id", F.col("best.doc_id"))
+        kept = least_null.eqNullSafe(F.col("best"))
+    return recipes.select("doc_id", "recipe", *map(common.column, by)).join(groups, "recipe").select(
+        "doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *map(common.column, by)
     )

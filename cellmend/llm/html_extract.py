@@ -11,7 +11,7 @@ Text: character references decoded, white space inside a block made one space, b
 read whole, in one narrow pass; nothing is shuffled.
 
 Defined results: null or empty html, or a page without main text, gives an empty text; null url or id is carried; rows that repeat are
-extracted like others; an empty table gives an empty result; other columns are ignored.
+extracted like others; an id that is no integer is an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Tokens are those of the given `tokenizers` file. A text is cut before single spa
 cuts, and a part that a worker remembers is not encoded again; texts with other white space around a space are encoded whole.
 
 Defined results: null and empty texts are the end mark alone; rows that repeat are packed as often as they occur; a null id is
-carried; an empty table gives an empty result; other columns are ignored.
+carried; an id that is no integer is an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

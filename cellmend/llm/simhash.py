@@ -13,8 +13,8 @@ gives back a star from each member to the least one of its local component, neve
 between different fingerprints are thus kept as connectivity, and components() closes them.
 
 Defined results: null text and text without words have fingerprint 0 and are linked as any other; a null id is carried,
-never the least while its component has a number; rows that repeat are rows of one class; an empty table gives an
-empty result; other columns are ignored.
+never the least while its component has a number; rows that repeat are rows of one class; an id that is no integer is an error; an empty
+table gives an empty result; other columns are ignored, or carried where asked for.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SHINGLE, SEED, TAU = 3, 42, 2
 BOUNDS = (0, 13, 26, 39, 52, 64)
 #: Distinct fingerprints of one bucket that a task compares in memory.
 BUCKET = 20_000
+#: Keyed fingerprints of a task.
+ROWS = 2_000_000
 _WHITE = bytes(32 if c == 32 or 9 <= c <= 13 else (c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
 
@@ -80,7 +82,7 @@ def _fingerprint_rows(n: int, seed: int) -> Callable:
                     hashes += _hashes(t, n, seed)
                     starts.append(len(hashes))
                 f = _fingerprints(np.array(hashes, dtype=np.uint64), np.array(starts))
-                yield pa.record_batch([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+                yield pa.record_batch([b.column(0), pa.array(f.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     return run
 
@@ -191,7 +193,7 @@ def _bucket_stars(modulus: int) -> Callable:
 
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) at TAU bits or fewer: as many as keep their connectivity."""
-    parts = distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, 5 * distinct.count() // ROWS)
     keyed = distinct.mapInArrow(keys, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     large = common.save(sizes.where(F.col("n") > bucket), "large-buckets")
@@ -200,26 +202,34 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     if n_large:
         # a large bucket has over `bucket` of the keys, so there are few: but the join is Spark's to choose
         small = keyed.join(large, "key", "left_anti")
-    out = small.repartition(int(parts), "key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_bucket_stars(5), "a long, b long")
+    out = small.repartition(parts, "key").sortWithinPartitions("key").select("key", "fp").mapInArrow(_bucket_stars(5), "a long, b long")
     if n_large:
         deep = keyed.join(large, "key", "left_semi").select("key", "fp").mapInArrow(deep_keys, "key long, fp long, home boolean")
-        lone = deep.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(_bucket_stars(8), "a long, b long")
+        lone = deep.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket_stars(8), "a long, b long")
         out = out.union(lone)
     return out.distinct()
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (the least id it reaches by links of TAU bits)."""
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, one_by: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (the least id it reaches by links of TAU bits). one_by names columns
+    that tell rows apart: they are carried, with kept, true for one row of each component: the least id, and of its rows (or of
+    those without an id, where there is no other) the least by these columns."""
     common.ship(df.sparkSession)
-    docs = common.texts(df, id_col, text_col)
-    prints = common.save(docs.mapInArrow(_fingerprint_rows(shingle, SEED), "doc_id long, fp long"), "fingerprints")
+    by = one_by or []
+    docs, kinds = common.texts_with(df, id_col, text_col, by)
+    prints = common.save(docs.mapInArrow(_fingerprint_rows(shingle, SEED), "doc_id long, fp long" + kinds), "fingerprints")
     classes = common.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), bucket))
     rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root", common.apart("root")).agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    of = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    if not by:
+        return prints.join(of, "fp").select("doc_id", hexed, "component_id")
+    rows = common.save(prints.join(of, "fp").select("doc_id", hexed, "component_id", "root", *map(common.column, by)), "members")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *map(common.column, by))
+    first = rows.groupBy("root", common.apart("root")).agg(F.min(rank).alias("first")).drop("__apart")
+    return rows.join(first, "root").select("doc_id", "fingerprint", "component_id", rank.eqNullSafe(F.col("first")).alias("kept"), *map(common.column, by))
 
 
 def hex_of(fp: int) -> str:

@@ -660,6 +660,31 @@ def test_lm_counts_are_not_clipped():
 # Pipeline and registry
 
 
+@pytest.fixture
+def edges(spark, tmp_path):
+    """Rows with null and repeated ids, copies, near copies and columns with names that operators use, as a table."""
+    long = " ".join(random.Random(4).choices([f"w{k}" for k in range(300)], k=400))
+    rows = [(1, "One text."), (1, "One text."), (2, "ONE TEXT."), (None, "one text."), (None, "other"), (None, "Other"), (3, None), (4, ""), (4, ""), (None, None), (5, long), (None, long + " x"), (6, "third " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(k).cast("long").alias(c) for k, c in enumerate(CLASH)], F.monotonically_increasing_id().alias("n"))
+    df.repartition(3).write.parquet(f"{tmp_path}/edges")
+    return spark.read.parquet(f"{tmp_path}/edges")
+
+
+def test_one_row_of_each_group(spark, edges):
+    """Whatever their ids, repeated or null, exactly one row stays of equal texts, and one of linked fingerprints."""
+    keyed = common.with_row_key(edges)
+    assert keyed.select(*common.ROW_KEY).distinct().count() == edges.count()
+    got = exact_dedup.exact_dedup(keyed, one_by=common.ROW_KEY).collect()
+    kept = sorted(((r.doc_id, r.group_size) for r in got if r.kept), key=str)
+    assert len(got) == 13 and kept == sorted([(2, 4), (None, 2), (4, 4), (5, 1), (None, 1), (6, 1)], key=str)
+    groups = simhash.simhash_groups(keyed, one_by=common.ROW_KEY).collect()
+    plain = simhash.simhash_groups(edges)
+    assert sorted(map(str, ((r.doc_id, r.fingerprint, r.component_id) for r in groups))) == sorted(str(tuple(r)) for r in plain.collect())
+    assert sum(r.kept for r in groups) == 5 and {r.doc_id for r in groups if r.kept} == {1, None, 3, 5, 6}
+    empty = common.with_row_key(edges.limit(0))
+    assert exact_dedup.exact_dedup(empty, one_by=common.ROW_KEY).count() == simhash.simhash_groups(empty, one_by=common.ROW_KEY).count() == 0
+
+
 def test_pipeline_against_its_parts(spark):
     """Each stage by brute force on what the one before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
