@@ -1,7 +1,9 @@
 """Training-data pipeline: stages over documents, each written as Parquet and reread by the next.
 
 Each stage works on all that the one before kept, and its decisions take effect. All but the last return the columns of their input.
-A row with a null id is never dropped as a copy, since no list of ids can name it; one that is too toxic or contaminated goes.
+
+Defined results, the same in all stages: rows are known by their place in the stored table, so null and repeated ids are rows like
+others; null texts are empty; columns of any name are carried as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,40 +22,38 @@ from cellmend.llm.toxicity import THRESHOLD, toxicity
 BROADCAST_ROWS = 200_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
-    """docs without the rows whose key expressions equal a row of dropped; keys: column of dropped to expression over docs."""
-    listed = common.save(dropped.select(*[F.col(k).alias(f"__drop_{k}") for k in keys]).distinct(), "dropped")
+def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of rows (with a row key) whose key is not among dropped."""
+    listed = common.save(dropped.select(*common.ROW_KEY), "dropped")
     side = F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed
-    condition = None
-    for k, expression in keys.items():
-        this = expression == side[f"__drop_{k}"]
-        condition = this if condition is None else condition & this
-    return docs.join(side, condition, "left_anti")
+    return rows.join(side, common.ROW_KEY, "left_anti").select(*map(common.column, columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows below the threshold. Texts without words score as clean ones."""
     scored = toxicity(docs, common.table(spark, sf_dir, "labels"))
     return scored.where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
-    sha = F.sha2(common.ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return without(docs, dropped, {"doc_id": docs["doc_id"], "text_sha256": sha})
+    """One row of each set of equal texts: the largest id, of rows that share it any one. Null and empty texts are equal."""
+    rows = common.with_row_key(docs)
+    return without(rows, exact_dedup(rows, one_by=common.ROW_KEY).where(~F.col("kept")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = common.save(simhash_groups(docs), "groups")
-    first = F.col("doc_id") == F.col("component_id")
-    dropped = groups.where(~first).select("doc_id").subtract(groups.where(first).select("doc_id"))
-    return without(docs, dropped, {"doc_id": docs["doc_id"]})
+    """One row of each component of linked fingerprints: the smallest id, of rows that share it any one."""
+    rows = common.with_row_key(docs)
+    return without(rows, simhash_groups(rows, one_by=common.ROW_KEY).where(~F.col("kept")), docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a twentieth or more of their words in benchmark windows go; from the others such spans are cut."""
     return remove_contamination(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document; an empty one is its end mark."""
     return pack(docs)
 
 
