@@ -705,6 +705,20 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, last, SF).collect()} == want
 
 
+def test_stages_on_edges(spark, edges):
+    """Each stage on null and repeated ids, copies, empty texts and clashing names, and on no rows at all."""
+    stages = dict(corpus_pipeline.STAGES)
+    left = {"toxicity": 13, "exact_dedup": 6, "simhash": 5, "decontaminate": 13}
+    for name, n in left.items():
+        got = stages[name](spark, edges, SF)
+        assert got.columns == edges.columns and got.count() == n, name
+        assert not {tuple(r) for r in got.collect()} - {tuple(r) for r in edges.collect()}, name
+        assert stages[name](spark, edges.limit(0), SF).count() == 0, name
+    assert stages["pack"](spark, edges, SF).where("piece = 0").count() == 13 and stages["pack"](spark, edges.limit(0), SF).count() == 0
+    both = stages["simhash"](spark, common.save(stages["exact_dedup"](spark, edges, SF), "s"), SF)
+    assert both.count() == 5
+
+
 def test_every_operator_has_a_query():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
     assert queries.SQL.keys() <= queries.QUERIES.keys()
