@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellmend.llm import common, components, decontaminate, exact_dedup, fm_index, html_extract, labelled_pages, lm_score, pack, quality, queries, secrets, simhash, toxicity, url_filter
+from cellmend.llm import common, components, decontaminate, exact_dedup, fm_index, html_extract, labelled_pages, lm_score, near_copies, pack, quality, queries, secrets, simhash, toxicity, url_filter
 from cellmend.llm.automata import Automaton
 
 SF = "/root/testdata/sf0.001"
@@ -470,6 +470,67 @@ def test_links_keep_connectivity(spark, bucket):
     assert all(roots.get(x, x) == g[0] for g in parts(true) for x in g)
 
 
+@pytest.fixture(scope="module")
+def varied():
+    """Texts of 40 to 400 words with copies in which words are changed, copies of copies, short and empty ones."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    out = [None, "", " ", "one", "One", "one two", "one two three four five", "one two three four five six"]
+    for n in (40, 80, 150, 400):
+        for _ in range(6):
+            base = rng.choices(vocabulary, k=n)
+            out.append(" ".join(base))
+            for _ in range(8):
+                changed = list(base)
+                for _ in range(rng.randrange(1, 2 + n // 40)):
+                    changed[rng.randrange(n)] = rng.choice(vocabulary)
+                out.append(" ".join(changed))
+                base = changed if rng.random() < 0.3 else base
+    return out
+
+
+@pytest.mark.parametrize("bucket", [near_copies.BUCKET, 3])
+def test_near_groups(spark, varied, bucket):
+    rows = [(k, t, k) for k, t in enumerate(varied)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n int").repartition(4)
+    got = near_copies.near_groups(df, ["n"], bucket=bucket).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(near_copies.brute_force(varied)))
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(set(near_copies.brute_force(varied)))
+    assert near_copies.near_groups(df.limit(0), ["n"]).count() == 0
+
+
+def test_near_groups_on_the_documents(spark, docs, texts):
+    got = near_copies.near_groups(docs.withColumn("n", F.col("doc_id")), ["n"]).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(near_copies.brute_force(texts)))
+
+
+def test_trees_connect_what_lanes_connect():
+    """Close links and others, from every start: all that is within the budget of different lanes hangs together."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 256, (5, near_copies.LANES), dtype=np.uint8)
+    for _ in range(60):
+        x = v[rng.integers(len(v))].copy()
+        x[rng.choice(near_copies.LANES, rng.choice([3, 9, 15, 22, 30]), replace=False)] ^= 1
+        v = np.vstack([v, x])
+    v = np.unique(v, axis=0)
+
+    def parts(links):
+        root = list(range(len(v)))
+        for a, b in links:
+            root = [root[b] if r == root[a] else r for r in root]
+        return [[k for k in range(len(v)) if root[k] == r] for r in dict.fromkeys(root)]
+
+    different = (v[:, None] != v[None]).sum(axis=2)
+    found = []
+    for start in range(near_copies.RING):
+        segment = slice(start * near_copies.WIDTH, (start + 1) * near_copies.WIDTH)
+        for key in np.unique(v[:, segment], axis=0):
+            members = np.flatnonzero((v[:, segment] == key).all(axis=1))
+            found += [(int(members[a]), int(members[b])) for a, b in near_copies._trees(v[members], start)] if len(members) > 1 else []
+    assert all(different[a, b] <= near_copies.TAU for a, b in found)
+    assert parts(found) == parts([(int(a), int(b)) for a, b in np.argwhere(different <= near_copies.TAU)])
+
+
 # 8
 
 
@@ -705,6 +766,17 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, last, SF).collect()} == want
 
 
+def test_the_near_copy_stage(spark):
+    """Links of fingerprints first, then of similar texts among what is left."""
+    docs = common.save(spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]), "a")
+    by_bits = common.save(corpus_pipeline.drop_near_copies(spark, docs, SF), "b")
+    rows = sorted((r.doc_id, r.text) for r in by_bits.collect())
+    left = {rows[k][0] for k in near_copies.brute_force([t for _, t in rows])}
+    got = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(left) and got.columns == docs.columns
+    assert len(left) < len(rows)
+
+
 def test_stages_on_edges(spark, edges):
     """Each stage on null and repeated ids, copies, empty texts and clashing names, and on no rows at all."""
     stages = dict(corpus_pipeline.STAGES)
