@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellmend.llm import common
 from cellmend.llm.decontaminate import remove_contamination
 from cellmend.llm.exact_dedup import exact_dedup
+from cellmend.llm.near_copies import near_groups
 from cellmend.llm.pack import pack
 from cellmend.llm.simhash import simhash_groups
 from cellmend.llm.toxicity import THRESHOLD, toxicity
@@ -47,6 +48,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without(rows, simhash_groups(rows, one_by=common.ROW_KEY).where(~F.col("kept")), docs.columns)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of what drop_near_copies keeps, one row of each component of texts with a five-word similarity of 0.8 or more, chosen likewise."""
+    rows = common.with_row_key(common.save(drop_near_copies(spark, docs, sf_dir), "near"))
+    return without(rows, near_groups(rows, common.ROW_KEY).where(~F.col("kept")), docs.columns)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a twentieth or more of their words in benchmark windows go; from the others such spans are cut."""
     return remove_contamination(docs, common.table(spark, sf_dir, "benchmark"))
@@ -60,7 +67,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("simhash", drop_near_copies),
+    ("simhash", drop_similar),
     ("decontaminate", drop_benchmark),
     ("pack", pack_sequences),
 ]
