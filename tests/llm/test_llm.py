@@ -766,13 +766,13 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, last, SF).collect()} == want
 
 
-def test_the_near_copy_stage(spark):
+def test_near_copies_beyond_the_stage(spark):
     """Links of fingerprints first, then of similar texts among what is left."""
     docs = common.save(spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["text"]), "a")
     by_bits = common.save(corpus_pipeline.drop_near_copies(spark, docs, SF), "b")
     rows = sorted((r.doc_id, r.text) for r in by_bits.collect())
     left = {rows[k][0] for k in near_copies.brute_force([t for _, t in rows])}
-    got = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF)
+    got = corpus_pipeline.drop_similar(spark, docs, SF)
     assert sorted(r.doc_id for r in got.collect()) == sorted(left) and got.columns == docs.columns
     assert len(left) < len(rows)
 
