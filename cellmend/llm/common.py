@@ -27,7 +27,7 @@ _SHIPPED: set[str] = set()
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text that one vectorised step looks at; bounds a Python worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
