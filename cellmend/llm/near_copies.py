@@ -179,12 +179,13 @@ def candidates(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
     whole = keyed.withColumn("block", F.lit(0).cast("long"))
     if large.count():
         blocks = F.ceil(F.col("n") / bucket).cast("long")
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        mine = F.pmod(F.xxhash64("lanes"), F.col("blocks"))
         cut = keyed.join(large, ["start", "key"]).withColumn("blocks", blocks).withColumn("mine", mine)
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> mine")
         pair = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
         whole = whole.join(large, ["start", "key"], "left_anti").unionByName(cut.select("node", "lanes", "start", "key", pair.alias("block")))
-    dealt = whole.repartition(parts, "start", "key", "block").sortWithinPartitions("start", "key", "block")
+    # trees follow the order of the lanes: numbers of nodes differ from run to run
+    dealt = whole.repartition(parts, "start", "key", "block").sortWithinPartitions("start", "key", "block", "lanes")
     return dealt.select("start", "key", "block", "node", "lanes").mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
